@@ -188,3 +188,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark)
     write(table(spark, sf_dir, "pages"), f"{folder}/warc", folder)
     return read_pages(spark, f"{folder}/warc")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, nullif(trim(regexp_replace(url, '\\s+', ' ', 'g')), '') AS url, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+r AS (SELECT html, max(page_id) AS response FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, url, payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN response <> page_id THEN response END AS refers_to, true AS intact
+FROM p LEFT JOIN r ON p.html = r.html AND payload_bytes >= 1000"""

@@ -229,5 +229,19 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return scored.select(doc_id, held(F.col(doc_id)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score `least` or more, with all their columns; learns from all labels."""
+    folder = work_folder(docs.sparkSession)
+    stats = keep(measure(docs, doc_id, text), folder, "stats")
+    taught = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.avg(label).alias("y"))
+    model = fit(keep(stats.join(taught, doc_id).select("stats", "y"), folder, "taught"))
+
+    def run(batches):
+        for batch, data, offs in K.slices(batches, text):
+            yield batch.filter(pa.array(model.score(statistics(data, offs).astype(float)) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
