@@ -57,13 +57,28 @@ def spans(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((pre[ends] - pre[starts]) * q[starts] + (ends - starts).astype(U64))
 
 
-def windows(pre: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints of all spans of one width, by start."""
+def windows(pre: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of spans of one width, at the given starts or at all; not mixed, but their top bits are even."""
     n = len(pre) - width
     if n <= 0:
         return np.empty(0, U64)
     _, q = _powers(len(pre))
-    return mix((pre[width:] - pre[:n]) * q[:n] + U64(width))
+    if at is not None:
+        return (pre[at + width] - pre[at]) * q[at]
+    out = pre[width:] - pre[:n]
+    out *= q[:n]
+    return out
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorts the argument in place."""
+    values.sort()
+    if not len(values):
+        return values
+    fresh = np.empty(len(values), bool)
+    fresh[0] = True
+    np.not_equal(values[1:], values[:-1], out=fresh[1:])
+    return values[fresh]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -60,21 +60,24 @@ def _array(column: pa.Array, i: int) -> np.ndarray:
 def _cover(data: np.ndarray, ends: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Sampled places of a chunk and the names of their suffixes."""
     starts = np.concatenate([[0], ends[:-1]])
-    n = np.diff(np.concatenate([[0], ends]))
-    inside = np.arange(len(data)) - np.repeat(starts, n)
-    allowed = np.zeros(PERIOD, bool)
-    allowed[list(COVER)] = True
-    room = np.repeat(ends, n) - np.arange(len(data)) >= gram
-    at = np.flatnonzero(allowed[inside % PERIOD] & room)
-    return at, K.windows(K.prefix(data), gram)[at]
+    room = ends - starts - gram
+    parts = []
+    for r in COVER:
+        per = np.maximum((room - r) // PERIOD + 1, 0)
+        offs = np.concatenate([[0], np.cumsum(per)])
+        parts.append(np.repeat(starts + r - PERIOD * offs[:-1], per) + PERIOD * np.arange(offs[-1]))
+    at = np.sort(np.concatenate(parts))
+    return at, K.windows(K.prefix(data), gram, at) if len(at) else np.empty(0, np.uint64)
 
 
 def _suffixes(data: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts, in the packed segments, of all strings of `length` bytes, and their names."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    ends = np.cumsum(lens)
-    at = np.flatnonzero(np.repeat(ends, lens) - np.arange(len(data)) >= length)
+    starts = np.cumsum(lens) - lens
+    per = lens - length + 1
+    offs = np.concatenate([[0], np.cumsum(per)])
+    at = np.repeat(starts - offs[:-1], per) + np.arange(offs[-1])
     return at, K.windows(K.prefix(data), length)[at]
 
 
@@ -121,12 +124,15 @@ def _ranked(source: DataFrame, names_of, blocks: int, passes: int, earlier: bool
             continue
 
         def send(batches, lo=lo, hi=hi):
-            edges = np.append(_edges(lo, hi, blocks), np.uint64(0))
+            edges = _edges(lo, hi, blocks)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    names = np.unique(names_of(batch, i)[1])
-                    cut = np.searchsorted(names, edges[:-1])
-                    cut = np.append(cut, len(names) if hi == blocks else np.searchsorted(names, _edges(hi, hi + 1, blocks))[0])
+                    names = names_of(batch, i)[1]
+                    inside = names >= edges[0]
+                    if hi < blocks:
+                        inside &= names < _edges(hi, hi + 1, blocks)[0]
+                    names = K.distinct(names[inside])
+                    cut = np.append(np.searchsorted(names, edges), len(names))
                     full = np.flatnonzero(np.diff(cut))
                     if len(full):
                         parts = [names[cut[b] : cut[b + 1]].astype("<u8").tobytes() for b in full]
@@ -134,6 +140,7 @@ def _ranked(source: DataFrame, names_of, blocks: int, passes: int, earlier: bool
 
         sent = source.mapInArrow(send, "block int, chunk long, names binary")
         keep(sent.groupBy("block").applyInArrow(judge, "chunk long, block int, bits binary"), folder, name, "append")
+        del sent
         free_shuffles(spark)
     read = spark.read.schema("chunk long, block int, bits binary").parquet(f"{folder}/{name}")
     return read.groupBy("chunk").agg(F.collect_list(F.struct("block", "bits")).alias("bits"))
@@ -178,14 +185,18 @@ def repeats(docs: DataFrame, length: int = 100, passes: int = 3, doc_id: str = "
             for i in range(batch.num_rows):
                 data, ends = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), _array(batch.column("ends"), i)
                 at, names = _cover(data, ends, gram)
-                uniq, back, count = np.unique(names, return_inverse=True, return_counts=True)
-                again = _flags(uniq, cover_blocks, batch.column("bits")[i].as_py()) | (count > 1)
-                reach = np.zeros(len(data) + PERIOD + 1, np.int64)
+                uniq = K.distinct(names.copy())
+                back = np.searchsorted(uniq, names)
+                again = _flags(uniq, cover_blocks, batch.column("bits")[i].as_py()) | (np.bincount(back, minlength=len(uniq)) > 1)
+                reach = np.zeros(len(data) + PERIOD + 1, np.int32)
                 reach[at[again[back]] + 1] = 1
-                reach = np.cumsum(reach)
-                n = np.diff(np.concatenate([[0], ends]))
-                room = np.repeat(ends, n) - np.arange(len(data)) >= length
-                lo, hi = _runs((reach[PERIOD : PERIOD + len(data)] > reach[: len(data)]) & room)
+                reach = np.cumsum(reach, dtype=np.int32)
+                left = reach[PERIOD : PERIOD + len(data)] > reach[: len(data)]
+                # no string of the full length starts in a document's last bytes
+                begins = np.concatenate([[0], ends[:-1]])
+                tail = ends[:, None] - np.arange(1, length)
+                left[tail[tail >= begins[:, None]]] = False
+                lo, hi = _runs(left)
                 if len(lo):
                     size = hi - lo + length - 1
                     offs = np.concatenate([[0], np.cumsum(size)])
