@@ -29,6 +29,8 @@ def work_folder(spark: SparkSession) -> str:
 
     Where the setting is absent, as in tests on one machine, a temporary folder takes its place.
     """
+    # every operator hands results on as written tables, so shuffle files need not outlive the job that made them
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="mentionforge-")
