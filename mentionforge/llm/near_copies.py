@@ -3,9 +3,10 @@
 1. Every document's sorted set of word shingles gives a 128-bit set key and a MinHash signature. Documents with equal
    sets form one class at once, by a grouped minimum: copies never meet in a task.
 2. Signatures are cut into bands; classes that share a band are candidates. A bucket's pairs are not all written out:
-   each member is first held against one leader of its bucket, verified links are joined to components, and only what
-   is still in different components of one bucket goes on, with new leaders and at last pair by pair. No bucket is
-   capped and no member is left out, so no link that banding finds between different components is lost.
+   each member is first held against one leader of its bucket, verified links are joined to components, and only
+   buckets with members in different components go on. Those are compared in blocks of bounded size, chunk against
+   chunk, and a block gives on a spanning forest of its links. No bucket is capped and no member is left out, so no
+   link that banding finds between different components is lost.
 3. A candidate's signatures are compared batch by batch. After each batch the posterior of its similarity (Beta prior,
    binomial matches) is held against the threshold; a pair whose chance of reaching it is below `miss` leaves.
 4. Survivors are verified exactly on their full sets.
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, free_shuffles, keep, partitions, small_batches, table, work_folder
+from .common import components, keep, small_batches, table, work_folder
 
 BANDS, ROWS = 32, 5
 BATCH = 20
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
+#: Members of a bucket that meet in one task at most, and rows of small buckets that share a task, about.
+CHUNK, BIN = 512, 4096
 
 
 @lru_cache(64)
@@ -71,7 +74,7 @@ def sets(docs: DataFrame, doc_id: str, text: str, width: int, with_sets: bool, e
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(bucket, node) for every band of every class that has shingles."""
+    """(bucket, band, node) for every band of every class that has shingles."""
 
     def run(batches):
         for batch in batches:
@@ -83,9 +86,10 @@ def _bands(classes: DataFrame) -> DataFrame:
             for r in range(ROWS):
                 h = K.mix(h * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, r] + np.uint64(1))
             node = np.repeat(batch.column("node").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(node)], names=["bucket", "node"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), len(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(band), pa.array(node)], names=["bucket", "band", "node"])
 
-    return classes.where("n > 0").select("node", "signature").mapInArrow(run, "bucket long, node long")
+    return classes.where("n > 0").select("node", "signature").mapInArrow(run, "bucket long, band int, node long")
 
 
 def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -120,11 +124,7 @@ def _exact(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = []
             for p, q in zip(batch.column("xa"), batch.column("xb")):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (p, q))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
+                ok.append(_similar(*(np.frombuffer(v.as_buffer(), "<u8") for v in (p, q)), percent))
             idx = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([batch.column(c).take(idx) for c in "ab"], names=["a", "b"])
 
@@ -133,6 +133,98 @@ def _exact(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
     return two.mapInArrow(run, "a long, b long")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """members (bucket, ...) dealt into blocks (big, bin, p, q): a large bucket chunk by chunk against chunk, small
+    buckets together. A block holds two chunks at most."""
+    total = members.count()
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    placed = members.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    big = F.col("chunks") > 1
+    bins = max(1, -(-total // BIN))
+    return placed.withColumns({"big": big, "bin": F.when(big, F.col("bucket")).otherwise(F.pmod("bucket", F.lit(bins))), "p": F.least("chunk", "other"), "q": F.greatest("chunk", "other")}).drop("other", "chunks")
+
+
+def _open_pairs(t: pa.Table, rule: list[tuple[int, int]]):
+    """Slices (i, j) of a block's row pairs that share a bucket, lie in different components, meet here and in no
+    earlier band, and that sequential comparison of signatures doesn't rule out."""
+    bucket, own, chunk, band = (t.column(c).to_numpy() for c in ("bucket", "own", "chunk", "band"))
+    crossed = t.column("p")[0].as_py() != t.column("q")[0].as_py()
+    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(len(bucket), -1)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], bucket[order], "right")
+    count = ends - np.arange(len(order)) - 1
+    lo = 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(count[lo:]), 100_000, "right")) + lo)
+        per = count[lo:hi]
+        first = np.cumsum(per) - per
+        i = np.repeat(np.arange(lo, hi), per)
+        j = i + 1 + np.arange(len(i)) - np.repeat(first, per)
+        i, j = order[i], order[j]
+        ok = own[i] != own[j]
+        if crossed:
+            ok &= chunk[i] != chunk[j]
+        i, j, lo = i[ok], j[ok], hi
+        done, got = 0, np.zeros(len(i), np.int64)
+        for upto, least in rule:
+            got += (sig[i, done:upto] == sig[j, done:upto]).sum(1)
+            ok = got >= least
+            i, j, got, done = i[ok], j[ok], got[ok], upto
+        if len(i):
+            shared = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(2).argmax(1)
+            ok = shared == band[i]
+            yield i[ok], j[ok]
+
+
+def _open_nodes(rule):
+    """Of a block, the nodes with a pair to verify."""
+
+    def run(key, t):
+        t = t.combine_chunks()
+        node = t.column("node").to_numpy()
+        live = [np.empty(0, np.int64)]
+        for i, j in _open_pairs(t, rule):
+            live += [node[i], node[j]]
+        return pa.table({"node": np.unique(np.concatenate(live))})
+
+    return run
+
+
+def _block_links(rule, percent: int):
+    """Of a block, verified links: a spanning forest over the components its members came in."""
+
+    def run(key, t):
+        t = t.combine_chunks()
+        node, own = t.column("node").to_numpy(), t.column("own").to_numpy()
+        sets_ = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("shingles").combine_chunks()]
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b = [], []
+        for i, j in _open_pairs(t, rule):
+            for x, y in zip(i.tolist(), j.tolist()):
+                p, q = find(int(own[x])), find(int(own[y]))
+                if p != q and _similar(sets_[x], sets_[y], percent):
+                    root[p] = q
+                    a.append(int(node[x]))
+                    b.append(int(node[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the near-duplicate group) and kept, for every row of docs."""
     spark = docs.sparkSession
@@ -146,50 +238,55 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     bands = _bands(classes)
     heads = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
     buckets = keep(bands.join(heads.drop("size"), "bucket"), folder, "buckets")
-    free_shuffles(spark)
 
     stored: list[DataFrame] = []
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left = keep(_bayes(pairs, classes, percent / 100, miss), folder, f"{name}-survivors")
-        need = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def store(need: DataFrame, name: str) -> DataFrame:
+        """The sets of nodes, those kept before and new ones cut from their texts; the key tells rows of equal doc_id apart."""
         for have in stored:
             need = need.join(have.select("node"), "node", "left_anti")
-        need = classes.join(need, "node").select("node", "doc_id", "key")
-        # only the texts of survivors are cut into sets again; the key tells rows of equal doc_id apart
+        need = keep(classes.join(need, "node").select("node", "doc_id", "key"), folder, f"{name}-need")
         some = docs.join(need.select(F.col("doc_id").alias("id")).distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text")
         cut = sets(some, "doc_id", "text", width, True).select("key", "shingles")
-        own = cut.join(need.select("node", "key").hint("shuffle_hash"), "key").select("node", "shingles")
-        stored.append(keep(_one_each(own), folder, f"{name}-sets"))
-        free_shuffles(spark)
-        store = stored[0]
+        stored.append(keep(_one_each(cut.join(need.select("node", "key").hint("shuffle_hash"), "key").select("node", "shingles")), folder, f"{name}-sets"))
+        both = stored[0]
         for more in stored[1:]:
-            store = store.union(more)
-        out = keep(_exact(left, store, percent), folder, f"{name}-links")
-        free_shuffles(spark)
-        return out
-
-    pairs = keep(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), folder, "pairs-0")
-    tested, links = pairs, verified(pairs, "round-0")
-    groups, open_ = components(links, folder, "groups-0"), buckets.select("bucket", "node")
-    for k in range(1, LEADER_ROUNDS + 2):
-        named = open_.join(groups.withColumnRenamed("component", "own"), "node", "left").select("bucket", "node", F.coalesce("own", "node").alias("own"))
-        named = keep(named, folder, f"named-{k}")
-        split = named.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "own")).alias("lead")).where("lo <> hi")
-        mixed = keep(named.join(split.select("bucket", F.col("lead.node").alias("leader"), F.col("lead.own").alias("lead_own")), "bucket"), folder, f"mixed-{k}")
-        if mixed.isEmpty():
-            break
-        if k <= LEADER_ROUNDS:
-            new = mixed.where("own <> lead_own").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-        else:
-            p, q = mixed.select("bucket", F.col("node").alias("a"), F.col("own").alias("oa")), mixed.select("bucket", F.col("node").alias("b"), F.col("own").alias("ob"))
-            new = p.join(q, "bucket").where("a < b and oa <> ob").select("a", "b")
-        pairs = keep(new.distinct().join(tested, ["a", "b"], "left_anti"), folder, f"pairs-{k}")
-        open_ = mixed.select("bucket", "node")
-        if pairs.isEmpty():
-            continue
+            both = both.union(more)
+        return both
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        left = keep(_bayes(pairs, classes, percent / 100, miss), folder, f"{name}-survivors")
+        nodes = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+        return keep(_exact(left, store(nodes, name), percent), folder, f"{name}-links")
+
+    def mixed(members: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+        """Members of buckets that hold more than one component, with their component and a new leader."""
+        named = members.join(groups.withColumnRenamed("component", "own"), "node", "left").select("bucket", "band", "node", F.coalesce("own", "node").alias("own"))
+        named = keep(named, folder, f"{name}-named")
+        lead = F.min(F.struct(F.xxhash64("node", F.lit(name)).alias("h"), "node", "own")).alias("lead")
+        split = named.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), lead).where("lo <> hi")
+        return keep(named.join(split.select("bucket", F.col("lead.node").alias("leader"), F.col("lead.own").alias("lead_own")), "bucket"), folder, name)
+
+    tested = keep(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), folder, "pairs-0")
+    links = verified(tested, "round-0")
+    groups = components(links, folder, "groups-0")
+    members = mixed(buckets.select("bucket", "band", "node"), groups, "mixed-0")
+    for k in range(1, LEADER_ROUNDS + 1):
+        new = members.where("own <> lead_own").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+        pairs = keep(new.distinct().join(tested, ["a", "b"], "left_anti").select("a", "b"), folder, f"pairs-{k}")
         tested, links = tested.union(pairs), links.union(verified(pairs, f"round-{k}"))
         groups = components(links, folder, f"groups-{k}")
+        members = mixed(members.select("bucket", "band", "node"), groups, f"mixed-{k}")
+
+    # what is left, chunk against chunk: first by signatures alone, then with the sets of those still in question
+    rule, block = least_matches(percent / 100, miss), ["big", "bin", "p", "q"]
+    members = members.select("bucket", "band", "node", "own")
+    signed = _blocks(members).join(classes.select("node", "signature"), "node")
+    live = keep(signed.groupBy(*block).applyInArrow(_open_nodes(rule), "node long").distinct(), folder, "open-nodes")
+    members = keep(members.join(live, "node", "left_semi"), folder, "open-members")
+    full = _blocks(members).join(classes.select("node", "signature").join(live, "node", "left_semi"), "node").join(store(live, "open"), "node")
+    links = links.union(keep(full.groupBy(*block).applyInArrow(_block_links(rule, percent), "a long, b long"), folder, "open-links"))
+    groups = components(links, folder, "groups")
 
     named = classes.join(groups.withColumnRenamed("component", "own"), "node", "left").select("node", "key", "doc_id", F.coalesce("own", "node").alias("own"))
     least = named.groupBy("own").agg(F.min("doc_id").alias("component_id"))
