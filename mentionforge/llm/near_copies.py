@@ -34,8 +34,8 @@ from .common import components, keep, small_batches, table, work_folder
 BANDS, ROWS = 32, 5
 BATCH = 20
 LEADER_ROUNDS = 1
-#: Members of a bucket that meet in one task at most, and rows of small buckets that share a task, about.
-CHUNK, BIN = 512, 4096
+#: Members of a bucket and bytes of their sets in one chunk, and rows of small buckets that share a task, about.
+CHUNK, CHUNK_BYTES, BIN = 4096, 16 << 20, 4096
 
 
 @lru_cache(64)
@@ -140,11 +140,13 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """members (bucket, ...) dealt into blocks (big, bin, p, q): a large bucket chunk by chunk against chunk, small
+def _blocks(members: DataFrame, with_sets: bool) -> DataFrame:
+    """members (bucket, n, ...) dealt into blocks (big, bin, p, q): a large bucket chunk by chunk against chunk, small
     buckets together. A block holds two chunks at most."""
     total = members.count()
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunks = F.ceil(F.count("*") / CHUNK)
+    chunks = F.greatest(chunks, F.ceil(F.sum("n") * 8 / CHUNK_BYTES)) if with_sets else chunks
+    sizes = members.groupBy("bucket").agg(chunks.cast("int").alias("chunks"))
     placed = members.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     big = F.col("chunks") > 1
@@ -152,9 +154,10 @@ def _blocks(members: DataFrame) -> DataFrame:
     return placed.withColumns({"big": big, "bin": F.when(big, F.col("bucket")).otherwise(F.pmod("bucket", F.lit(bins))), "p": F.least("chunk", "other"), "q": F.greatest("chunk", "other")}).drop("other", "chunks")
 
 
-def _open_pairs(t: pa.Table, rule: list[tuple[int, int]]):
+def _open_pairs(t: pa.Table, rule: list[tuple[int, int]], now=None):
     """Slices (i, j) of a block's row pairs that share a bucket, lie in different components, meet here and in no
-    earlier band, and that sequential comparison of signatures doesn't rule out."""
+    earlier band, and that sequential comparison of signatures doesn't rule out. now: gives the rows' components as
+    they are when a slice starts."""
     bucket, own, chunk, band = (t.column(c).to_numpy() for c in ("bucket", "own", "chunk", "band"))
     crossed = t.column("p")[0].as_py() != t.column("q")[0].as_py()
     sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(len(bucket), -1)
@@ -169,6 +172,7 @@ def _open_pairs(t: pa.Table, rule: list[tuple[int, int]]):
         i = np.repeat(np.arange(lo, hi), per)
         j = i + 1 + np.arange(len(i)) - np.repeat(first, per)
         i, j = order[i], order[j]
+        own = now() if now else own
         ok = own[i] != own[j]
         if crossed:
             ok &= chunk[i] != chunk[j]
@@ -213,7 +217,12 @@ def _block_links(rule, percent: int):
             return x
 
         a, b = [], []
-        for i, j in _open_pairs(t, rule):
+        kinds, back = np.unique(own, return_inverse=True)
+
+        def now():
+            return np.array([find(x) for x in kinds.tolist()])[back]
+
+        for i, j in _open_pairs(t, rule, now):
             for x, y in zip(i.tolist(), j.tolist()):
                 p, q = find(int(own[x])), find(int(own[y]))
                 if p != q and _similar(sets_[x], sets_[y], percent):
@@ -280,11 +289,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     # what is left, chunk against chunk: first by signatures alone, then with the sets of those still in question
     rule, block = least_matches(percent / 100, miss), ["big", "bin", "p", "q"]
-    members = members.select("bucket", "band", "node", "own")
-    signed = _blocks(members).join(classes.select("node", "signature"), "node")
+    members = members.select("bucket", "band", "node", "own").join(classes.select("node", "n"), "node")
+    signed = _blocks(members, False).join(classes.select("node", "signature"), "node")
     live = keep(signed.groupBy(*block).applyInArrow(_open_nodes(rule), "node long").distinct(), folder, "open-nodes")
     members = keep(members.join(live, "node", "left_semi"), folder, "open-members")
-    full = _blocks(members).join(classes.select("node", "signature").join(live, "node", "left_semi"), "node").join(store(live, "open"), "node")
+    full = _blocks(members, True).join(classes.select("node", "signature").join(live, "node", "left_semi"), "node").join(store(live, "open"), "node")
     links = links.union(keep(full.groupBy(*block).applyInArrow(_block_links(rule, percent), "a long, b long"), folder, "open-links"))
     groups = components(links, folder, "groups")
 
