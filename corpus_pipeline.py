@@ -26,6 +26,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words all stay; of rows repeated whole, one stays.
     """
+    docs = docs.select(*COLUMNS)
     found = near_copies.near_copies(docs, width=5, percent=80)
     stay = keep(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), work_folder(spark), "stay")
     ids = stay.select(F.col("doc_id").alias("id"))
@@ -35,6 +36,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret found replaced by a mark and n_chars brought up to date."""
+    docs = docs.select(*COLUMNS)
     found, _ = secrets.scan(docs, "doc_id", "text")
     hit = found.where(F.size("spans") > 0).select(F.col("path").alias("id"), F.col("blob").alias("b"), "spans").distinct()
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
@@ -46,6 +48,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its source's target takes it, none to three."""
+    docs = docs.select(*COLUMNS)
     mixed = mixing.mix(docs)
     copies = mixed.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s")).agg(F.max("copies").alias("copies")).where("copies > 0")
     joined = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")))

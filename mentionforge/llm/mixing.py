@@ -106,7 +106,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     packed = rows.groupBy("no", "part").agg(F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.array_sort(F.collect_list(item)).alias("items"))
     fold = f"""aggregate(items, named_struct('goal', 0D, 'taken', 0L, 'out', cast(array() as array<int>)),
         (acc, x) -> named_struct('goal', acc.goal + x.rate * -x.minus, 'taken', acc.taken + {{copies}} * -x.minus, 'out', concat(acc.out, array({{copies}}))), acc -> acc.out)"""
-    copies = f"cast(if(x.minus = 0, 0, greatest(0D, floor(x.rate) - 1D, least({float(most)}D, ceil(x.rate) + 1D, round((acc.goal + x.rate * -x.minus - acc.taken) / -x.minus)))) as int)"
+    copies = f"cast(if(x.minus = 0, 0, greatest(0D, least({float(most)}D, round((acc.goal + x.rate * -x.minus - acc.taken) / -x.minus)))) as int)"
     packed = packed.withColumn("copies", F.expr(fold.format(copies=copies)))
     out = packed.select("source", "source_size", "target", F.explode(F.arrays_zip("items", "copies")).alias("x"))
     return out.select(F.col("x.items.doc_id").alias("doc_id"), "source", (-F.col("x.items.minus")).alias("size"), "source_size", "target", F.col("x.items.rate").alias("rate"), F.col("x.copies").alias("copies"))
