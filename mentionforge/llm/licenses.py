@@ -11,7 +11,6 @@ Repeated rows give equal results; extra columns are ignored; an empty table give
 from __future__ import annotations
 
 import json
-import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +88,8 @@ def _spaces(x: Column) -> Column:
 
 def scan(df: DataFrame, text: str = "text", phrases: tuple = PHRASES) -> DataFrame:
     """df with n_words, places (phrase starts: label, n, first, last) and hits (label, start, end, priority; by words)."""
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    # of letters beyond ASCII only two become ASCII letters when lowered; they stay letters of their own
+    lowered = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\u0130\u212A]", "\u00e9"))
     df = df.withColumn("_norm", F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, NO_WORD, " ")), F.lit(" ")))
     n_words = F.when(F.col("_norm") == "  ", F.lit(0)).otherwise(_spaces(F.col("_norm")) - 1)
     df = df.withColumn("n_words", n_words.cast("long"))
@@ -126,9 +126,7 @@ def scan(df: DataFrame, text: str = "text", phrases: tuple = PHRASES) -> DataFra
             lambda acc: acc["out"],
         )
 
-    gate = F.lit(False)
-    for key in sorted({r["key"].split(" ")[0] for r in rules()}):
-        gate = gate | F.contains(norm, F.lit(f" {key}"))
+    gate = F.rlike(norm, F.lit(" (?:" + "|".join(sorted({r["key"] for r in rules()})) + ")"))
     df = df.withColumn("_hits", F.when(gate, F.flatten(F.transform(open_, hits_of))).otherwise(none))
     inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["priority"] > x["priority"])
     return df.withColumn("hits", F.filter("_hits", lambda x: ~F.exists("_hits", lambda y: inside(x, y)))).drop("_hits", "_norm")
