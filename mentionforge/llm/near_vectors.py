@@ -1,8 +1,8 @@
 """Embedding near-duplicates by sorted projection passes.
 
 Equal vectors of a label form one class. In each pass the classes are ordered by label and by the concatenated signs of
-random projections, the order is cut into blocks of WINDOW, and every vector is compared (cosine, double precision)
-with its own block and the one before. The number of passes follows from the size of the largest label: so many that a
+random projections, the order is cut into windows of WINDOW, and every vector is compared (cosine, double precision)
+with its own window and the one before. The number of passes follows from the size of the largest label: so many that a
 pair at the threshold stays apart in all of them with a chance below `miss`. Verified pairs are united across passes.
 
 A vector linked to half a window or more sits in a cluster that windows can't hold. Those vectors are looked at exactly:
@@ -29,6 +29,8 @@ from .common import components, keep, partitions, small_batches, table, work_fol
 from .vectors import by_width, dense, matrix, usable
 
 WINDOW = 256
+#: Windows that are dealt out together; one more goes with them.
+CHUNK = 8
 BITS = 62
 QUERY_BLOCK = BASE_BLOCK = 2048
 
@@ -63,26 +65,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _window_pairs(threshold: float):
-    """For a block and the one before: pairs (a, b) that link, or (a, a) for one that has half a window of links."""
+    """For every window of a chunk and the one before: pairs (a, b) that link, or (a, a) for one that has half a window
+    of links."""
 
     def run(key, t):
         t = t.combine_chunks()
-        own, node = t.column("own").to_numpy(zero_copy_only=False), t.column("node").to_numpy()
-        group = t.column("group").to_numpy()
+        node, group, window = (t.column(c).to_numpy() for c in ("node", "group", "window"))
+        first = key[0].as_py() * CHUNK
         out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for g in np.unique(group[own]):
-            idx = np.flatnonzero(group == g)
-            idx = idx[np.argsort(node[idx], kind="stable")]
-            u = _unit(matrix(t.column("embedding"), idx))
-            mine = own[idx]
-            close = (u @ u.T >= threshold) & (mine[:, None] | mine[None, :])
-            np.fill_diagonal(close, False)
-            full = close.sum(1) >= WINDOW // 2
-            close[full] = close[:, full] = False
-            a, b = np.nonzero(np.triu(close, 1))
-            own_nodes = node[idx]
-            out_a += [own_nodes[a], own_nodes[full]]
-            out_b += [own_nodes[b], own_nodes[full]]
+        order = np.lexsort((node, group))
+        for idx in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            u, at, nodes = _unit(matrix(t.column("embedding"), idx)), window[idx], node[idx]
+            for w in np.unique(at[at >= first]):
+                near = np.flatnonzero((at == w) | (at == w - 1))
+                mine = at[near] == w
+                close = (u[near] @ u[near].T >= threshold) & (mine[:, None] | mine[None, :])
+                np.fill_diagonal(close, False)
+                full = close.sum(1) >= WINDOW // 2
+                close[full] = close[:, full] = False
+                a, b = np.nonzero(np.triu(close, 1))
+                out_a += [nodes[near][a], nodes[near][full]]
+                out_b += [nodes[near][b], nodes[near][full]]
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return run
@@ -161,10 +164,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 1e-5
         total += n
     places = spark.createDataFrame(offsets, "p long, offset long")
     place = ranked.withColumn("p", part).join(places, "p").withColumn("place", F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1))
-    block = F.floor(F.col("place") / WINDOW).cast("long")
-    both = place.select("pass", "label", "node", F.explode(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own")))).alias("x"))
-    joined = both.select("node", F.xxhash64("pass", "label").alias("group"), "x.*").join(classes.select("node", "embedding"), "node").withColumn("group", F.xxhash64("group", F.size("embedding")))
-    found = keep(joined.groupBy("block").applyInArrow(_window_pairs(threshold), "a long, b long").distinct(), folder, "found")
+    window = F.floor(F.col("place") / WINDOW)
+    chunk = F.floor(window / CHUNK)
+    # the last window of a chunk is also needed by the chunk after it
+    chunks = F.when(window % CHUNK == CHUNK - 1, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    both = place.select("node", F.xxhash64("pass", "label").alias("group"), window.alias("window"), F.explode(chunks).alias("chunk"))
+    joined = both.join(classes.select("node", "embedding"), "node").withColumn("group", F.xxhash64("group", F.size("embedding")))
+    found = keep(joined.groupBy("chunk").applyInArrow(_window_pairs(threshold), "a long, b long").distinct(), folder, "found")
 
     crowded = keep(found.where("a = b").select(F.col("a").alias("node")), folder, "crowded")
     pairs = found.where("a <> b")
