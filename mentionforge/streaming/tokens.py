@@ -11,7 +11,11 @@ from ..operators.labels import labelled
 
 
 def token_counts(stream: DataFrame, late: str = "10 minutes", width: str = "7 days", ts: str = "ts") -> DataFrame:
-    """(window, cui, status, n): mentions of each concept and status by window, late ones up to a watermark."""
+    """(window, cui, status, n): mentions of each concept and status by window, late ones up to a watermark.
+
+    Times without a zone are taken in the session's.
+    """
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), "cui", "status").agg(F.count("*").alias("n"))
 
 
