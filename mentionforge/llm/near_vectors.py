@@ -2,13 +2,15 @@
 
 Equal vectors of a label form one class. In each pass the classes are ordered by label and by the concatenated signs of
 random projections, the order is cut into windows of WINDOW, and every vector is compared (cosine, double precision)
-with its own window and the one before. The number of passes follows from the size of the largest label: so many that a
-pair at the threshold stays apart in all of them with a chance below `miss`. Verified pairs are united across passes.
+with its own window and the one before. The number of passes follows from the size of the largest label, as if bits
+halved it. How far that held is then measured: in each pass a vector meets all that share its first bits, as many bits
+as tell it from the nearest codes outside its windows, and from these its chance of missing a link at the threshold in
+all passes. Verified pairs are united across passes.
 
-A vector linked to half a window or more sits in a cluster that windows can't hold. Those vectors are looked at exactly:
-as stated queries against all vectors of their label, block by block; links between two of them are counted where they
-are found, and each block pair gives on a spanning forest instead of its pairs. So no link is lost and no group is
-written out pair by pair.
+A vector linked to half a window or more, or whose chance of missing a link is above `miss`, sits where windows can't
+hold all that is near. Those vectors are looked at exactly: as stated queries against all vectors of their label, block
+by block; links between two of them are counted where they are found, and each block pair gives on a spanning forest
+instead of its pairs. So no link is lost and no group is written out pair by pair.
 
 Rows: vectors that are null, empty or zero or hold null or non-finite components, and rows without a label, link with
 nothing. Vectors of different widths link with nothing of the other width. Copies and repeated rows link with each
@@ -22,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, keep, partitions, small_batches, table, work_folder
@@ -42,6 +44,31 @@ def passes_for(largest: int, threshold: float, miss: float, window: int = WINDOW
     return max(8, math.ceil(math.log(miss) / math.log1p(-(same**shared))))
 
 
+def _unsure(place: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """Nodes whose passes leave a link at the threshold unseen with a chance above `miss`.
+
+    place: pass, group, code, node, window, place. A pass shows a node all that share more first bits with it than the
+    last code before and the first after its windows do.
+    """
+    same = 1 - math.acos(threshold) / math.pi
+    end = F.struct("group", "code")
+    ends = place.groupBy("window").agg(F.min_by(end, "place").alias("first"), F.max_by(end, "place").alias("last"))
+    none = F.lit(None).cast(ends.schema["first"].dataType)
+    before = ends.select((F.col("window") + 2).alias("window"), F.col("last").alias("before"), none.alias("after"))
+    after = ends.select((F.col("window") - 2).alias("window"), none.alias("before"), F.col("first").alias("after"))
+    outside = before.union(after).groupBy("window").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+
+    def needed(side: str) -> Column:
+        apart = F.col("code").bitwiseXOR(F.col(f"{side}.code"))
+        bits = F.when(apart == 0, BITS + 1).otherwise(BITS + 1 - F.length(F.bin(apart)))
+        return F.when(F.col(f"{side}.group") == F.col("group"), bits).otherwise(0)
+
+    bits = F.greatest(needed("before"), needed("after"))
+    missed = F.when(bits == 0, -1e9).otherwise(F.coalesce(F.log1p(-F.pow(F.lit(same), bits)), F.lit(-1e9)))
+    chance = place.join(outside, "window", "left").groupBy("node").agg(F.sum(missed).alias("log"))
+    return chance.where(F.col("log") > math.log(miss)).select("node")
+
+
 def _codes(classes: DataFrame, passes: int, seed: int) -> DataFrame:
     """(pass, label, code, node): the signs of BITS random projections, the first the most significant."""
 
@@ -164,15 +191,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 1e-5
         total += n
     places = spark.createDataFrame(offsets, "p long, offset long")
     place = ranked.withColumn("p", part).join(places, "p").withColumn("place", F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1))
-    window = F.floor(F.col("place") / WINDOW)
+    place = place.select("pass", F.xxhash64("pass", "label").alias("group"), "code", "node", "place", F.floor(F.col("place") / WINDOW).alias("window"))
+    window = F.col("window")
     chunk = F.floor(window / CHUNK)
     # the last window of a chunk is also needed by the chunk after it
     chunks = F.when(window % CHUNK == CHUNK - 1, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    both = place.select("node", F.xxhash64("pass", "label").alias("group"), window.alias("window"), F.explode(chunks).alias("chunk"))
+    both = place.select("node", "group", "window", F.explode(chunks).alias("chunk"))
     joined = both.join(classes.select("node", "embedding"), "node").withColumn("group", F.xxhash64("group", F.size("embedding")))
     found = keep(joined.groupBy("chunk").applyInArrow(_window_pairs(threshold), "a long, b long").distinct(), folder, "found")
 
-    crowded = keep(found.where("a = b").select(F.col("a").alias("node")), folder, "crowded")
+    crowded = found.where("a = b").select(F.col("a").alias("node")).union(_unsure(place, threshold, miss)).distinct()
+    crowded = keep(crowded, folder, "crowded")
     pairs = found.where("a <> b")
     for side in "ab":
         pairs = pairs.join(crowded.withColumnRenamed("node", side), side, "left_anti").select("a", "b")

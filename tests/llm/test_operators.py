@@ -152,6 +152,18 @@ def test_near_vectors(spark, vectors):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_near_vectors_of_a_dense_topic(spark):
+    rng = np.random.default_rng(1)
+    topic = rng.normal(size=64)
+    topic = topic / np.linalg.norm(topic) + rng.normal(scale=0.0455, size=(5000, 64))
+    x = np.concatenate([topic, rng.normal(size=(2500, 64))])
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum(1) - 1
+    assert links.sum() > 1000 and [got[i] for i in range(len(x))] == links.tolist()
+
+
 def test_neighbours(spark, vectors):
     rows = QUERIES["op4_neighbours"](spark, vectors).collect()
     base = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{vectors}/embeddings.parquet").collect() if r.embedding and len(r.embedding) == 32 and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)}
