@@ -180,6 +180,24 @@ def test_neighbours(spark, vectors):
     assert hits >= 0.9 * 20 * len(queries)
 
 
+@pytest.mark.parametrize("norms", ["one long", "lognormal"])
+def test_neighbours_of_unequal_norms(spark, norms):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(100, 64))[np.arange(2000) % 100] + rng.normal(scale=0.6, size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "one long":
+        x[7] *= 3
+    else:
+        x *= rng.lognormal(sigma=0.5, size=(2000, 1))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect()}
+    score = x[::20] @ x.T
+    score[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    best = np.argsort(-score, 1)[:, :20]
+    hits = np.array([sum((20 * q, int(i)) in got for i in best[q]) for q in range(100)])
+    assert len(got) == 2000 and hits.mean() >= 0.95 * 20 and hits.min() >= 12
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 5.0]), (2, [-1.0, 0.0]), (3, None)], "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id) for r in neighbours.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1), (2, 2)]
