@@ -97,7 +97,8 @@ def nearest_terms(queries: DataFrame, dictionary: DataFrame, k: int, digits: int
 def cell_terms(queries: DataFrame, dictionary: DataFrame, k: int, cells: int | None = None, probes: int | None = None, seed: int = 5) -> DataFrame:
     """Approximate search: a k-means coarse quantiser, probed cells, exact ranking there.
 
-    Cells and probes follow the dictionary's size: min(4096, max(n / 50, 256)) and min(32, cells), or as given.
+    Cells and probes follow the dictionary's size: min(4096, max(n / 50, 256)) and min(32, cells), or as given. Queries
+    for which the probed cells hold fewer than k terms are answered by exact search.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -126,7 +127,11 @@ def cell_terms(queries: DataFrame, dictionary: DataFrame, k: int, cells: int | N
     both = q.withColumn("side", F.lit(0)).union(d.withColumn("side", F.lit(1))).withColumn("cell", F.explode("cells")).drop("cells")
     found = both.groupBy("cell").applyInArrow(_nearest(k, 9), "query string, term string, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "term")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    few = queries.join(best.groupBy("query").count(), "query", "left").where(F.coalesce("count", F.lit(0)) < min(k, n)).select("query", "vector")
+    if few.isEmpty():
+        return best
+    return best.join(few.select("query"), "query", "left_anti").union(nearest_terms(few, dictionary, k))
 
 
 def normal(text: Column) -> Column:

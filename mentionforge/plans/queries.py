@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Cooccurrence, Labels, Spectral, TopPairs
@@ -210,7 +210,10 @@ def link_text_ngram(spark, sf_dir):
 @query()
 def ann_cells_topk(spark, sf_dir):
     v = vectors(spark, sf_dir).select("row_id", "cui", C.unit(F.col("embedding")).alias("vector"))
-    return linking.cell_terms(v.where("row_id % 20 = 0").withColumnRenamed("cui", "query"), v.where("row_id % 20 <> 0").withColumnRenamed("cui", "term"), 10, cells=16, probes=8)
+    # one more than wanted, as a row finds itself
+    found = linking.cell_terms(v.where("row_id % 20 = 0").withColumnRenamed("cui", "query"), v.withColumnRenamed("cui", "term"), 11, probes=64)
+    order = Window.partitionBy("query").orderBy("rank")
+    return found.where("query <> term").withColumn("rank", F.row_number().over(order)).where("rank <= 10")
 
 
 # Stage C

@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from mentionforge.plans.queries import ORACLES, QUERIES
@@ -37,6 +38,19 @@ def test_query(spark, duck, name):
         assert canonical(rows) == canonical([tuple(r[i] for i in at) for r in want.fetchall()])
 
 
+def test_ann_cells_recall(spark, duck):
+    ids, e = zip(*duck.sql("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall())
+    u, ids = np.array(e, float), np.array(ids)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    got = {(int(r.query[1:]), int(r.term[1:])) for r in QUERIES["ann_cells_topk"](spark, SF).collect()}
+    q = np.flatnonzero(ids % 20 == 0)
+    score = u[q] @ u.T
+    score[np.arange(len(q)), q] = -np.inf
+    want = {(int(ids[a]), int(ids[b])) for a, row in zip(q, np.argsort(-score, 1)[:, :10]) for b in row}
+    assert len(got) == len(want) and any(t % 20 == 0 for _, t in got) and all(a != b for a, b in got)
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_entry_without_corpus_operators(spark):
     import __spark_entry__
 
