@@ -383,22 +383,22 @@ def matrix_symmetrize(spark, sf_dir):
     return spectral.prepared(_upper(spark, sf_dir)).select("i", "j", F.round("v", 6).alias("v"))
 
 
-def _small(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    counted, vocab = _counted(spark, sf_dir, statuses=("VIEW",))
+def _matrix(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    counted, vocab = _counted(spark, sf_dir)
     return cooccurrence.symmetric(cooccurrence.ppmi(counted), "v"), vocab
 
 
 @query()
 def eig_topk(spark, sf_dir):
-    m, vocab = _small(spark, sf_dir)
-    values, _ = spectral.top_eigenpairs(spectral.prepared(m), vocab.count(), 16)
+    m, vocab = _matrix(spark, sf_dir)
+    values, _ = spectral.top_eigenpairs(spectral.prepared(m), vocab.count(), Spectral().k)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "rank int, eigenvalue double")
 
 
 @query()
 def spectral_embeddings(spark, sf_dir):
-    m, vocab = _small(spark, sf_dir)
-    return spectral.embeddings(m, vocab, Spectral(k=16)).select("token", "embedding")
+    m, vocab = _matrix(spark, sf_dir)
+    return spectral.embeddings(m, vocab).select("token", "embedding")
 
 
 # Stage G

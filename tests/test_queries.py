@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from mentionforge.plans.queries import ORACLES, QUERIES
+from mentionforge.plans.queries import MATRIX, ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -51,6 +51,21 @@ def test_ann_cells_recall(spark, duck):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_spectral_of_all_statuses(spark, duck):
+    tokens = [t for t, in duck.sql(ORACLES["token_vocab"]).order("idx").project("token").fetchall()]
+    a = np.zeros((len(tokens), len(tokens)))
+    for i, j, v in duck.sql(f"{MATRIX} SELECT i, j, v FROM upper_m").fetchall():
+        a[i, j] = a[j, i] = v
+    values, vectors = np.linalg.eigh(a)
+    values, vectors = values[::-1][:128], vectors[:, ::-1][:, :128]
+    got = sorted((r.rank, r.eigenvalue) for r in QUERIES["eig_topk"](spark, SF).collect())
+    assert np.allclose([x for _, x in got], values, atol=1e-6)
+    own = {r.token: r.embedding for r in QUERIES["spectral_embeddings"](spark, SF).collect()}
+    assert set(own) == set(tokens) and len({t.split("||")[1] for t in tokens}) > 1
+    e = np.array([own[t] for t in tokens])
+    assert np.allclose(e @ e.T, (vectors * np.maximum(values, 0)) @ vectors.T, atol=1e-6)
+
+
 def test_entry_without_corpus_operators(spark):
     import __spark_entry__
 
