@@ -588,7 +588,7 @@ def pipeline_end_to_end(spark, sf_dir):
     from .pipeline import Run, from_mentions
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
-    run = Run(spark, f"{base}/run-{uuid.uuid4().hex}", Pipeline(cooccurrence=Cooccurrence(present_only=True), spectral=Spectral(k=16), pairs=TopPairs(top_pp=100, top_other=10)))
+    run = Run(spark, f"{base}/run-{uuid.uuid4().hex}", Pipeline())
     own = mentions(spark, sf_dir).withColumns({"semantic_type": F.lit("t"), "value": F.lit(None).cast("string"), "unit": F.lit(None).cast("string")})
     book = dictionary(spark, sf_dir).select("cui", "term", "semantic_type")
     return from_mentions(run, own, book)

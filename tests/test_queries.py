@@ -1,10 +1,11 @@
 import os
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
-from mentionforge.plans.queries import MATRIX, ORACLES, QUERIES
+from mentionforge.plans.queries import MATRIX, ORACLES, QUERIES, SUPPORTED
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -66,6 +67,16 @@ def test_spectral_of_all_statuses(spark, duck):
     assert np.allclose(e @ e.T, (vectors * np.maximum(values, 0)) @ vectors.T, atol=1e-6)
 
 
+def test_pipeline_of_all_statuses(spark, duck):
+    counts = dict(duck.sql(f"WITH {SUPPORTED} SELECT s, count(DISTINCT umls_top_cui) FROM supported GROUP BY s").fetchall())
+    want = {(a, b): min(500 if a == b == "PRESENT" else 50, n * m - n * (a == b)) for a, n in counts.items() for b, m in counts.items()}
+    rows = QUERIES["pipeline_end_to_end"](spark, SF).collect()
+    shown = lambda s: {"HISTORY": "historical", "UNCERTAIN": "possible"}.get(s, s.lower())
+    want = {(shown(a), shown(b)): n for (a, b), n in want.items()}
+    got = Counter((r.a_assertion_status, r.b_assertion_status) for r in rows)
+    assert len(counts) == 5 and got == want
+
+
 def test_entry_without_corpus_operators(spark):
     import __spark_entry__
 
