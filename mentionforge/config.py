@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 class Linking:
     top_k: int = 1
     threshold: float = 0.35
-    max_chars: int = 25 * 8
+    max_chars: int | None = None
     dims: int = 256
     use_cells: bool = False
     cells_above: int = 50_000

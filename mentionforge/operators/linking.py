@@ -24,10 +24,11 @@ def last_wins(lines: DataFrame) -> DataFrame:
     return lines.groupBy("term").agg(best).select("term", "x.cui", "x.semantic_type")
 
 
-def ngram_encoder(dims: int = 256, longest: int = 200) -> Encoder:
+def ngram_encoder(dims: int = 256, longest: int | None = None) -> Encoder:
     """Hashed character trigrams of lower-cased text, L2-normalised: deterministic and offline.
 
-    It finds spelling variants, not synonyms; a model-backed encoder has the same form.
+    Texts are taken whole unless `longest` is given. It finds spelling variants, not synonyms; a model-backed encoder has
+    the same form.
     """
 
     def encode(texts: list[str]) -> np.ndarray:

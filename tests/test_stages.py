@@ -178,3 +178,8 @@ def test_spectral_settings(spark):
     m = spark.createDataFrame([(0, 0, 5.0), (0, 1, 2.0), (1, 2, 0.5)], "i long, j long, v double")
     got = {(r.i, r.j): r.v for r in spectral.prepared(m, Spectral(threshold=1.0)).collect()}
     assert got == {(0, 1): 1.0, (1, 0): 1.0}
+
+
+def test_encoder_takes_whole_texts():
+    a, b = linking.ngram_encoder()(["x" * 200 + " left", "x" * 200 + " right"])
+    assert not np.allclose(a, b) and np.allclose(*linking.ngram_encoder(longest=200)(["x" * 200 + " left", "x" * 200 + " right"]))
