@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,11 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240601))
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 2**64)
-_power = {"n": 0, "p": np.empty(0, U64), "q": np.empty(0, U64)}
+#: Words and lines up to this many bytes are hashed in lanes of 8 bytes, longer ones by a digest each.
+LANES = 64
+_SEEDS = (0x243F6A8885A308D3, 0xA4093822299F31D0)
+_STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 #: Space and the controls from tab to carriage return; no byte of a longer UTF-8 sequence is among them.
 BLANK = np.zeros(256, bool)
@@ -22,17 +22,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _power["n"] < n:
-        size = max(n, 1 << 16)
-        for k, base in (("p", _BASE), ("q", _INV)):
-            out = np.full(size, U64(base))
-            out[0] = 1
-            _power[k] = np.multiply.accumulate(out)
-        _power["n"] = size
-    return _power["p"][:n], _power["q"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> U64(30))
@@ -43,42 +32,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash, from which spans() takes the hash of any span."""
-    p, _ = _powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * p[: len(data)], out=out[1:])
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a big-endian number, so that numbers order as bytes do; zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    out = np.empty(len(data) + 1, U64)
+    for r in range(min(8, len(out))):
+        part = padded[r:]
+        own = out[r::8]
+        own[:] = part[: 8 * len(own)].view(">u8") if len(part) >= 8 * len(own) else np.append(part, np.zeros(8, np.uint8))[: 8 * len(own)].view(">u8")
     return out
 
 
-def spans(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of data[starts:ends]; equal bytes have equal fingerprints wherever they stand."""
-    _, q = _powers(len(pre))
-    return mix((pre[ends] - pre[starts]) * q[starts] + (ends - starts).astype(U64))
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, half: int = 0) -> np.ndarray:
+    """Fingerprints of data[start:end]: one of two 64-bit halves that are independent of each other.
 
-
-def windows(pre: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Fingerprints of spans of one width, at the given starts or at all; not mixed, but their top bits are even."""
-    n = len(pre) - width
-    if n <= 0:
-        return np.empty(0, U64)
-    _, q = _powers(len(pre))
-    if at is not None:
-        return (pre[at + width] - pre[at]) * q[at]
-    out = pre[width:] - pre[:n]
-    out *= q[:n]
+    Lane after lane goes through a bijection that is not linear, so strings built of few letters are no special case;
+    spans over 8 * LANES bytes go through a keyed digest.
+    """
+    size = ends - starts
+    step, seed = U64(_STEPS[half]), U64(_SEEDS[half])
+    h = mix(size.astype(U64) * step + seed)
+    lane = lanes(data)
+    live = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+    at, left = starts[live], size[live]
+    while len(live):
+        x = lane[at]
+        short = left < 8
+        if short.any():
+            x[short] &= ~U64(0) << (U64(64) - U64(8) * left[short].astype(U64))
+        h[live] = mix(h[live] * step + x)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > 8 * LANES).tolist():
+        raw = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=16, key=b"spans").digest()
+        h[k] = np.frombuffer(raw, "<u8")[half]
+    return h
+
+
+def _joined(left: np.ndarray, right: np.ndarray, half: int) -> np.ndarray:
+    out = left * U64(_STEPS[half])
+    out ^= out >> U64(32)
+    out += right
+    out *= U64(0xFF51AFD7ED558CCD)
+    out ^= out >> U64(29)
     return out
 
 
-def distinct(values: np.ndarray) -> np.ndarray:
-    """Sorted distinct values; sorts the argument in place."""
-    values.sort()
-    if not len(values):
-        return values
-    fresh = np.empty(len(values), bool)
-    fresh[0] = True
-    np.not_equal(values[1:], values[:-1], out=fresh[1:])
-    return values[fresh]
+def windows(lane: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of the `width` (8 or more) bytes from each start: a chain over lanes, the last may overlap."""
+    out = mix(lane[at] + U64(_SEEDS[0]))
+    for k in range(8, width, 8):
+        out = _joined(out, lane[at + min(k, width - 8)], 0)
+    return mix(out)
+
+
+def every_window(lane: np.ndarray, width: int, half: int) -> np.ndarray:
+    """One half of the fingerprints of the `width` (8 or more) bytes from each place on: doubled until two cover them."""
+    out = lane[:-1] * U64(_STEPS[half])
+    out ^= out >> U64(29)
+    size = 8
+    while 2 * size <= width:
+        out = _joined(out[:-size], out[size:], half)
+        size *= 2
+    return mix(_joined(out[: -(width - size)], out[width - size :], half) if width > size else out)
+
+
+def ordered(hi: np.ndarray, lo: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order of fingerprints (second halves or none) and where in it the distinct ones start."""
+    order = np.argsort(hi)
+    one = hi[order]
+    same = one[1:] == one[:-1]
+    if lo is not None:
+        two = lo[order]
+        if (same & (two[1:] != two[:-1])).any():
+            order = np.lexsort((lo, hi))
+            two, one = lo[order], hi[order]
+            same = one[1:] == one[:-1]
+        same &= two[1:] == two[:-1]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(len(hi), 1), bool), ~same]))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +159,8 @@ def words(data: np.ndarray, offs: np.ndarray, blank: np.ndarray = BLANK) -> tupl
     return starts, ends, doc
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct fingerprints of each document's word shingles, end to end, and their offsets.
+def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's distinct word shingles as 128-bit fingerprints (two halves), sorted, end to end, and offsets.
 
     A-Z count as a-z. A document of fewer words than `width` has its whole sequence as its one shingle; one without
     words has none.
@@ -136,34 +168,44 @@ def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray
     n = len(offs) - 1
     starts, ends, doc = words(data, offs)
     if not len(starts):
-        return np.empty(0, U64), np.zeros(n + 1, np.int64)
-    wh = spans(prefix(LOWER[data]), starts, ends)
+        return np.empty(0, U64), np.empty(0, U64), np.zeros(n + 1, np.int64)
+    low = LOWER[data]
     per = np.bincount(doc, minlength=n)
     first = np.concatenate([[0], np.cumsum(per)])
-    m = len(wh) - width + 1
-    h = np.zeros(max(m, 0), U64)
-    for k in range(width if m > 0 else 0):
-        h = mix(h * U64(0xD6E8FEB86659FD93) + wh[k : k + m])
-    ok = doc[:m] == doc[width - 1 :] if m > 0 else np.empty(0, bool)
+    m = max(len(starts) - width + 1, 0)
+    ok = doc[:m] == doc[width - 1 :] if m else np.empty(0, bool)
     count = np.maximum(per - width + 1, 0)
     whole = np.flatnonzero((per > 0) & (per < width))
     count[whole] = 1
     at = np.concatenate([[0], np.cumsum(count)])
-    out = np.empty(at[-1], U64)
     put = np.ones(at[-1], bool)
     put[at[whole]] = False
-    out[put] = h[ok]
-    for d in whole:
-        x = np.zeros(1, U64)
-        for k in range(first[d], first[d + 1]):
-            x = mix(x * U64(0xD6E8FEB86659FD93) + wh[k : k + 1])
-        out[at[d]] = mix(x + U64(per[d]))[0]
+    halves = []
+    for half in range(2):
+        wh = spans(low, starts, ends, half)
+        h = np.full(m, U64(width))
+        for k in range(width if m else 0):
+            h = mix(h * U64(_STEPS[half]) + wh[k : k + m])
+        out = np.empty(at[-1], U64)
+        out[put] = h[ok]
+        for d in whole:
+            x = np.full(1, U64(per[d]))
+            for k in range(first[d], first[d + 1]):
+                x = mix(x * U64(_STEPS[half]) + wh[k : k + 1])
+            out[at[d]] = x[0]
+        halves.append(out)
+    hi, lo = halves
     for d in np.flatnonzero(count > 1):
-        out[at[d] : at[d + 1]].sort()
-    fresh = np.ones(len(out), bool)
-    fresh[1:] = out[1:] != out[:-1]
+        part = slice(at[d], at[d + 1])
+        order = np.argsort(hi[part])
+        hi[part], lo[part] = hi[part][order], lo[part][order]
+        if (hi[part][1:] == hi[part][:-1]).any():
+            order = np.lexsort((lo[part], hi[part]))
+            hi[part], lo[part] = hi[part][order], lo[part][order]
+    fresh = np.ones(len(hi), bool)
+    fresh[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
     fresh[at[:-1][count > 0]] = True
-    return out[fresh], np.concatenate([[0], np.cumsum(fresh)])[at]
+    return hi[fresh], lo[fresh], np.concatenate([[0], np.cumsum(fresh)])[at]
 
 
 def min_hashes(values: np.ndarray, offs: np.ndarray, n: int, seed: int = 7) -> np.ndarray:

@@ -9,7 +9,8 @@
    link that banding finds between different components is lost.
 3. A candidate's signatures are compared batch by batch. After each batch the posterior of its similarity (Beta prior,
    binomial matches) is held against the threshold; a pair whose chance of reaching it is below `miss` leaves.
-4. Survivors are verified exactly on their full sets.
+4. Survivors are verified on their full sets. A shingle is held as a 128-bit fingerprint whose steps are not linear, so
+   that m shingles hold two equal by accident with a chance of m*m/2^129.
 
 Rows: null and blank texts have no shingles, n_shingles 0, link with nothing and are their own component (kept). Rows
 of equal doc_id count as one document only where their sets are equal; a null doc_id forms components as any other row
@@ -54,7 +55,7 @@ def least_matches(threshold: float, miss: float, total: int = BANDS * ROWS, batc
 
 
 def sets(docs: DataFrame, doc_id: str, text: str, width: int, with_sets: bool, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, extra columns, n (set size), key (16 bytes of the set), and signature or the set itself (8 bytes a shingle)."""
+    """doc_id, extra columns, n (set size), key (16 bytes of the set), and signature or the set itself (16 bytes a shingle)."""
     small_batches(docs.sparkSession)
     what = "shingles" if with_sets else "signature"
     fields = docs.schema
@@ -62,9 +63,9 @@ def sets(docs: DataFrame, doc_id: str, text: str, width: int, with_sets: bool, e
 
     def run(batches):
         for batch, data, offs in K.slices(batches, text):
-            values, at = K.shingles(data, offs, width)
-            raw = values.astype("<u8").tobytes()
-            own = [raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])]
+            values, more, at = K.shingles(data, offs, width)
+            hi, lo = values.astype("<u8").tobytes(), more.astype("<u8").tobytes()
+            own = [hi[8 * a : 8 * b] + lo[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])]
             keys = [hashlib.blake2b(x, digest_size=16).digest() for x in own]
             if not with_sets:
                 own = [x.tobytes() for x in K.min_hashes(values, at, BANDS * ROWS)]
@@ -134,10 +135,16 @@ def _exact(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    same = int((both[1:] == both[:-1]).sum())
-    return 100 * same >= percent * (len(x) + len(y) - same)
+    """Whether two sets, each its first halves in order and then its second halves, have the similarity."""
+    m, n = len(x) // 2, len(y) // 2
+    if 100 * min(m, n) < percent * max(m, n):
+        return False
+    if (x[1:m] == x[: m - 1]).any():
+        same = len(set(zip(x[:m].tolist(), x[m:].tolist())) & set(zip(y[:n].tolist(), y[n:].tolist())))
+    else:
+        at = np.minimum(np.searchsorted(x[:m], y[:n]), m - 1)
+        same = int(((x[at] == y[:n]) & (x[m + at] == y[n:])).sum())
+    return 100 * same >= percent * (m + n - same)
 
 
 def _blocks(members: DataFrame, with_sets: bool) -> DataFrame:
@@ -145,7 +152,7 @@ def _blocks(members: DataFrame, with_sets: bool) -> DataFrame:
     buckets together. A block holds two chunks at most."""
     total = members.count()
     chunks = F.ceil(F.count("*") / CHUNK)
-    chunks = F.greatest(chunks, F.ceil(F.sum("n") * 8 / CHUNK_BYTES)) if with_sets else chunks
+    chunks = F.greatest(chunks, F.ceil(F.sum("n") * 16 / CHUNK_BYTES)) if with_sets else chunks
     sizes = members.groupBy("bucket").agg(chunks.cast("int").alias("chunks"))
     placed = members.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -265,10 +265,7 @@ class Codec:
         got = np.zeros(n, np.int64)
         if len(first):
             sym = self.char_id[chars]
-            raw = sym.astype("<u4").view(np.uint8)
-            pre = K.prefix(raw)
-            key = K.spans(pre, first * 4, last * 4)
-            _, one, back = np.unique(key, return_index=True, return_inverse=True)
+            one, back = _same_words(sym, first, last)
             size = (last - first)[one]
             woffs = np.concatenate([[0], np.cumsum(size)])
             flat = sym[np.repeat(first[one] - woffs[:-1], size) + np.arange(woffs[-1])]
@@ -308,6 +305,30 @@ class Codec:
         return out
 
 
+def _same_words(sym: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that tile sym: one word of each kind, and the kind of every word.
+
+    Fingerprints only propose: every word is compared with the one it is taken for, symbol by symbol.
+    """
+    key = K.spans(sym.astype("<u4").view(np.uint8), first * 4, last * 4)
+    _, one, back = np.unique(key, return_index=True, return_inverse=True)
+    size = last - first
+    like = one[back]
+    other = size != size[like]
+    like[other] = np.flatnonzero(other)
+    place = np.arange(len(sym)) - first[0]
+    unlike = np.flatnonzero(sym[np.repeat(first[like] - (first - first[0]), size) + place] != sym[first[0] :])
+    other[np.searchsorted(first, unlike + first[0], "right") - 1] = True
+    kinds: dict[bytes, int] = {}
+    for w in np.flatnonzero(other).tolist():
+        word = sym[first[w] : last[w]].tobytes()
+        if word not in kinds:
+            kinds[word] = len(one)
+            one = np.append(one, w)
+        back[w] = kinds[word]
+    return one, back
+
+
 @lru_cache(2)
 def codec(model_file: str) -> Codec:
     return Codec(model_file)

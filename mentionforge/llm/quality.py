@@ -58,8 +58,7 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     m = np.maximum(count, 1)
     mean = lambda x: np.bincount(doc, weights=x, minlength=n) / m
     length = (ends - starts).astype(float)
-    pre = K.prefix(data)
-    wh = K.spans(pre, starts, ends)
+    wh = K.spans(data, starts, ends)
     lower = np.concatenate([[0], np.cumsum(_LETTER[data] & ~wide)])
     upper = np.concatenate([[0], np.cumsum(_CLASSES[0][data] | wide)])
     ups, lows = upper[ends] - upper[starts], lower[ends] - lower[starts]
@@ -90,7 +89,7 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     ld = np.searchsorted(offs, cut, "right") - 1
     lines = np.bincount(ld, minlength=n).astype(float)
     lm = np.maximum(lines, 1)
-    lh = K.mix(K.spans(pre, cut, stop) + ld.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    lh = K.mix(K.spans(data, cut, stop) + ld.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     kinds = np.bincount(ld[np.unique(lh, return_index=True)[1]], minlength=n) if len(cut) else np.zeros(n)
     symbols = np.concatenate([[0], np.cumsum((_CLASSES[5] | _CLASSES[7])[data] | (data == 33))])
     dirty = (symbols[stop] - symbols[cut]) > 0.04 * (stop - cut)

@@ -7,15 +7,15 @@ the same document. Strings are judged on the input; matches never cross document
    order of documents, so "earlier" is a matter of chunk and place.
 2. Cover sample: suffixes that start at places whose residue modulo 73 is in a perfect difference set. Any two places
    have a common shift below 73 to sampled places, so two equal strings of 100 bytes hold equal sampled strings of 28.
-   Sampled suffixes are ranked by name (a 64-bit fingerprint of their 28 bytes) in blocks of name ranges, and a name
-   that occurs once rules out every place that reaches the sample through it.
-3. The suffixes left are sorted bucket by bucket (`passes` buckets of fingerprint ranges of their first `length` bytes,
-   one after another, each bucket in blocks of bounded size); a long tie is one name, never a comparison of texts.
-   Chunks send every name once, so a passage that all documents share weighs no more than the number of chunks, and
-   what comes back is a bit for each name: whether an earlier chunk has it.
+   Sampled suffixes are named (64-bit fingerprints of their 28 bytes) in blocks of name ranges, and a name that occurs
+   once rules out every place that reaches the sample through it. Accidents here only let more places through.
+3. The suffixes left are sorted bucket by bucket (`passes` buckets of name ranges, one after another, each bucket in
+   blocks of bounded size); a long tie is one name, never a comparison of texts. Chunks send every name once, so a
+   passage that all documents share weighs no more than the number of chunks, and what comes back is a bit for each
+   name: whether an earlier chunk has it.
 
-Order within a bucket is that of fingerprints and not of bytes: only equality matters here. Fingerprints have 64 bits,
-so with m suffixes left an accidental match has a chance of m*m/2^65.
+Order within a bucket is that of names and not of bytes: only equality matters here. The names that decide are 128-bit
+fingerprints of the whole strings, so with m suffixes left an accidental match has a chance of m*m/2^129.
 
 Rows: a null text is empty; texts shorter than `length` keep all. Rows of equal doc_id are separate documents, taken in
 the order of their texts, so repeated rows lose all but the first. A null doc_id comes before all others. Extra columns
@@ -37,7 +37,7 @@ from .common import free_shuffles, keep, partitions, small_batches, table, work_
 PERIOD, COVER = 73, (1, 2, 4, 8, 16, 32, 37, 55, 64)
 CHUNK = 2 << 20
 #: Names in a block of the sort, which bounds the memory of its task.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def _chunks(docs: DataFrame, folder: str) -> DataFrame:
@@ -57,8 +57,11 @@ def _array(column: pa.Array, i: int) -> np.ndarray:
     return value.to_numpy(zero_copy_only=False) if value is not None else np.empty(0, np.int64)
 
 
-def _cover(data: np.ndarray, ends: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled places of a chunk and the names of their suffixes."""
+Names = tuple[np.ndarray, np.ndarray | None]
+
+
+def _cover(data: np.ndarray, ends: np.ndarray, gram: int) -> tuple[np.ndarray, Names]:
+    """Sampled places of a chunk and the names of their suffixes (one half)."""
     starts = np.concatenate([[0], ends[:-1]])
     room = ends - starts - gram
     parts = []
@@ -67,18 +70,19 @@ def _cover(data: np.ndarray, ends: np.ndarray, gram: int) -> tuple[np.ndarray, n
         offs = np.concatenate([[0], np.cumsum(per)])
         parts.append(np.repeat(starts + r - PERIOD * offs[:-1], per) + PERIOD * np.arange(offs[-1]))
     at = np.sort(np.concatenate(parts))
-    return at, K.windows(K.prefix(data), gram, at) if len(at) else np.empty(0, np.uint64)
+    return at, (K.windows(K.lanes(data), gram, at) if len(at) else np.empty(0, np.uint64), None)
 
 
-def _suffixes(data: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts, in the packed segments, of all strings of `length` bytes, and their names."""
+def _suffixes(data: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, Names]:
+    """Starts, in the packed segments, of all strings of `length` bytes, and their names (both halves)."""
     if not len(data):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), (np.empty(0, np.uint64), np.empty(0, np.uint64))
     starts = np.cumsum(lens) - lens
     per = lens - length + 1
     offs = np.concatenate([[0], np.cumsum(per)])
     at = np.repeat(starts - offs[:-1], per) + np.arange(offs[-1])
-    return at, K.windows(K.prefix(data), length)[at]
+    lane = K.lanes(data)
+    return at, tuple(K.every_window(lane, length, half)[at] for half in range(2))
 
 
 def _edges(lo: int, hi: int, blocks: int) -> np.ndarray:
@@ -86,57 +90,54 @@ def _edges(lo: int, hi: int, blocks: int) -> np.ndarray:
     return np.array([(b << 64) // blocks for b in range(lo, hi)], np.uint64)
 
 
-def _split(names: np.ndarray, blocks: int) -> np.ndarray:
-    """Where each block starts in sorted names; the last entry is their number."""
-    return np.append(np.searchsorted(names, _edges(0, blocks, blocks)), len(names))
-
-
-def _ranked(source: DataFrame, names_of, blocks: int, passes: int, earlier: bool, folder: str, name: str) -> DataFrame:
+def _ranked(source: DataFrame, names_of, wide: bool, blocks: int, passes: int, earlier: bool, folder: str, name: str) -> DataFrame:
     """(chunk, bits array<struct<block, bits>>): for each distinct name of a chunk, in order, whether another chunk has
-    it (earlier=False) or an earlier chunk has it (earlier=True)."""
+    it (earlier=False) or an earlier chunk has it (earlier=True). wide: names have both halves."""
     spark = source.sparkSession
 
     def judge(key, group):
         chunk = group.column("chunk").to_numpy()
         blobs = group.column("names").combine_chunks()
         own = [np.frombuffer(x.as_buffer(), "<u8") for x in (blobs.chunks[0] if isinstance(blobs, pa.ChunkedArray) else blobs)]
-        merged = np.concatenate(own)
-        merged.sort()
-        again = merged[1:][merged[1:] == merged[:-1]]
-        again = again[np.concatenate([[True], again[1:] != again[:-1]])] if len(again) else again
-        seen = np.zeros(len(again), bool)
-        out: list[bytes] = [b""] * len(own)
-        for i in np.argsort(chunk):
-            at = np.searchsorted(again, own[i])
-            at[at == len(again)] = 0
-            hit = again[at] == own[i] if len(again) else np.zeros(len(own[i]), bool)
-            if earlier:
-                bits = hit & seen[at] if len(again) else hit
-                seen[at[hit]] = True
-            else:
-                bits = hit
-            out[i] = np.packbits(bits).tobytes()
+        size = np.array([len(x) for x in own]) // (2 if wide else 1)
+        hi = np.concatenate([x[:n] for x, n in zip(own, size)])
+        lo = np.concatenate([x[n:] for x, n in zip(own, size)]) if wide else None
+        order, first = K.ordered(hi, lo)
+        per = np.diff(np.append(first, len(order)))
+        bits = np.empty(len(order), bool)
+        if earlier:
+            holder = np.repeat(chunk, size)[order]
+            bits[order] = holder > np.repeat(np.minimum.reduceat(holder, first), per)
+        else:
+            bits[order] = np.repeat(per > 1, per)
+        at = np.concatenate([[0], np.cumsum(size)])
+        out = [np.packbits(bits[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
         return pa.table({"chunk": pa.array(chunk), "block": pa.array(np.full(len(own), key[0].as_py(), np.int32)), "bits": K.binary_column(out)})
 
     for k in range(passes):
-        lo, hi = blocks * k // passes, blocks * (k + 1) // passes
-        if lo == hi:
+        lo_block, hi_block = blocks * k // passes, blocks * (k + 1) // passes
+        if lo_block == hi_block:
             continue
 
-        def send(batches, lo=lo, hi=hi):
-            edges = _edges(lo, hi, blocks)
+        def send(batches, lo_block=lo_block, hi_block=hi_block):
+            edges = _edges(lo_block, hi_block, blocks)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    names = names_of(batch, i)[1]
-                    inside = names >= edges[0]
-                    if hi < blocks:
-                        inside &= names < _edges(hi, hi + 1, blocks)[0]
-                    names = K.distinct(names[inside])
-                    cut = np.append(np.searchsorted(names, edges), len(names))
+                    hi, lo = names_of(batch, i)[1]
+                    inside = hi >= edges[0]
+                    if hi_block < blocks:
+                        inside &= hi < _edges(hi_block, hi_block + 1, blocks)[0]
+                    hi, lo = hi[inside], lo[inside] if wide else None
+                    if wide:
+                        order, first = K.ordered(hi, lo)
+                        hi, lo = hi[order[first]], lo[order[first]]
+                    else:
+                        hi = np.unique(hi)
+                    cut = np.append(np.searchsorted(hi, edges), len(hi))
                     full = np.flatnonzero(np.diff(cut))
                     if len(full):
-                        parts = [names[cut[b] : cut[b + 1]].astype("<u8").tobytes() for b in full]
-                        yield pa.RecordBatch.from_arrays([pa.array((lo + full).astype(np.int32)), pa.array(np.full(len(full), batch.column("chunk")[i].as_py(), np.int64)), K.binary_column(parts)], names=["block", "chunk", "names"])
+                        parts = [b"".join(x[cut[b] : cut[b + 1]].astype("<u8").tobytes() for x in (hi, lo) if x is not None) for b in full]
+                        yield pa.RecordBatch.from_arrays([pa.array((lo_block + full).astype(np.int32)), pa.array(np.full(len(full), batch.column("chunk")[i].as_py(), np.int64)), K.binary_column(parts)], names=["block", "chunk", "names"])
 
         sent = source.mapInArrow(send, "block int, chunk long, names binary")
         keep(sent.groupBy("block").applyInArrow(judge, "chunk long, block int, bits binary"), folder, name, "append")
@@ -146,13 +147,20 @@ def _ranked(source: DataFrame, names_of, blocks: int, passes: int, earlier: bool
     return read.groupBy("chunk").agg(F.collect_list(F.struct("block", "bits")).alias("bits"))
 
 
-def _flags(names: np.ndarray, blocks: int, bits: list[dict] | None) -> np.ndarray:
-    """The bits of a chunk's sorted distinct names."""
-    out = np.zeros(len(names), bool)
-    cut = _split(names, blocks)
+def _flags(names: Names, blocks: int, bits: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each name of a chunk: the bit of its kind, how many names are of the kind, and the first of them."""
+    order, first = K.ordered(*names)
+    per = np.diff(np.append(first, len(order)))
+    kinds = names[0][order[first]]
+    cut = np.append(np.searchsorted(kinds, _edges(0, blocks, blocks)), len(kinds))
+    bit = np.zeros(len(kinds), bool)
     for x in bits or ():
         lo, hi = cut[x["block"]], cut[x["block"] + 1]
-        out[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo)
+        bit[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo)
+    least = np.minimum.reduceat(order, first) if len(order) else order
+    out = np.empty(len(order), bool), np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    for x, y in zip(out, (bit, per, least)):
+        x[order] = np.repeat(y, per)
     return out
 
 
@@ -162,7 +170,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def repeats(docs: DataFrame, length: int = 100, passes: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, length: int = 100, passes: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, removed (array of start and end of maximal removed runs, in bytes) and kept (the bytes left)."""
     gram = length - PERIOD + 1
     if gram < 8:
@@ -178,18 +186,16 @@ def repeats(docs: DataFrame, length: int = 100, passes: int = 3, doc_id: str = "
     def cover(batch, i):
         return _cover(np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), _array(batch.column("ends"), i), gram)
 
-    shared = _ranked(chunks.select("chunk", "ends", "data"), cover, cover_blocks, passes, False, folder, "shared")
+    shared = _ranked(chunks.select("chunk", "ends", "data"), cover, False, cover_blocks, passes, False, folder, "shared")
 
     def survivors(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 data, ends = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), _array(batch.column("ends"), i)
                 at, names = _cover(data, ends, gram)
-                uniq = K.distinct(names.copy())
-                back = np.searchsorted(uniq, names)
-                again = _flags(uniq, cover_blocks, batch.column("bits")[i].as_py()) | (np.bincount(back, minlength=len(uniq)) > 1)
+                other, alike, _ = _flags(names, cover_blocks, batch.column("bits")[i].as_py())
                 reach = np.zeros(len(data) + PERIOD + 1, np.int32)
-                reach[at[again[back]] + 1] = 1
+                reach[at[other | (alike > 1)] + 1] = 1
                 reach = np.cumsum(reach, dtype=np.int32)
                 left = reach[PERIOD : PERIOD + len(data)] > reach[: len(data)]
                 # no string of the full length starts in a document's last bytes
@@ -212,14 +218,14 @@ def repeats(docs: DataFrame, length: int = 100, passes: int = 3, doc_id: str = "
     def suffixes(batch, i):
         return _suffixes(np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), _array(batch.column("lens"), i), length)
 
-    before = _ranked(parts.select("chunk", "lens", "data"), suffixes, blocks, passes, True, folder, "before")
+    before = _ranked(parts.select("chunk", "lens", "data"), suffixes, True, blocks, passes, True, folder, "before")
 
     def covered(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 at, names = suffixes(batch, i)
-                uniq, first, back = np.unique(names, return_index=True, return_inverse=True)
-                dup = _flags(uniq, blocks, batch.column("bits")[i].as_py())[back] | (np.arange(len(names)) != first[back])
+                before_it, _, first = _flags(names, blocks, batch.column("bits")[i].as_py())
+                dup = before_it | (np.arange(len(at)) != first)
                 starts, lens = _array(batch.column("starts"), i), _array(batch.column("lens"), i)
                 offs = np.concatenate([[0], np.cumsum(lens)])
                 at = at[dup]

@@ -228,6 +228,50 @@ def test_codec_at_random():
         assert ids[at[k] : at[k + 1]].tolist() == want and back[k].decode() == lib.decode(want)
 
 
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a[:n], b[:n]
+
+
+def test_structured_words():
+    """Words that polynomial fingerprints modulo a power of two take for equal."""
+    import sentencepiece
+
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model()), piece_codec.codec(piece_codec.default_model())
+    for n in (64, 512, 1024, 2048):
+        a, b = thue_morse(n)
+        raw = [x.encode() for x in (a, b, f"{a} {b} {a}", f"{b} {a}")]
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ids, at = own.encode(data, offs)
+        for k, x in enumerate(raw):
+            assert ids[at[k] : at[k + 1]].tolist() == lib.encode(x.decode(), add_bos=True, add_eos=True), n
+        hi, lo, at = kernels.shingles(data, offs, 1)
+        sets = [set(zip(hi[i:j].tolist(), lo[i:j].tolist())) for i, j in zip(at[:-1], at[1:])]
+        assert not sets[0] & sets[1] and sets[2] == sets[3] == sets[0] | sets[1]
+
+
+def test_words_are_compared(monkeypatch):
+    """Where all fingerprints are equal, words are still told apart."""
+    monkeypatch.setattr(kernels, "spans", lambda data, starts, ends, half=0: np.zeros(len(starts), np.uint64))
+    sym = np.array([9, 1, 2, 1, 2, 3, 1, 2, 1, 3])
+    one, back = piece_codec._same_words(sym, np.array([1, 3, 6, 8]), np.array([3, 6, 8, 10]))
+    assert back[0] == back[2] and len({back[0], back[1], back[3]}) == 3 and set(one) >= {0, 1, 3}
+
+
+def test_near_copies_of_structured_words(spark):
+    rows = [(k, x) for k, x in enumerate(t for n in (512, 1024, 2048) for t in thue_morse(n))]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(k, k, True) for k in range(6)]
+
+
+def test_similar_by_both_halves():
+    x, y = (np.array(v, np.uint64) for v in ([1, 2, 3, 4, 5, 9, 9, 9, 9, 9], [1, 2, 3, 4, 5, 9, 9, 9, 9, 8]))
+    assert near_copies._similar(x, x, 100) and near_copies._similar(x, y, 66) and not near_copies._similar(x, y, 67)
+
+
 def shingle_set(t, width):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
     return set(zip(*(w[k:] for k in range(width)))) if len(w) >= width else {tuple(w)} if w else set()
