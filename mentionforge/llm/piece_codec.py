@@ -316,9 +316,8 @@ def _same_words(sym: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[n
     like = one[back]
     other = size != size[like]
     like[other] = np.flatnonzero(other)
-    place = np.arange(len(sym)) - first[0]
-    unlike = np.flatnonzero(sym[np.repeat(first[like] - (first - first[0]), size) + place] != sym[first[0] :])
-    other[np.searchsorted(first, unlike + first[0], "right") - 1] = True
+    unlike = np.flatnonzero(sym[np.repeat(first[like] - first, size) + np.arange(len(sym))] != sym)
+    other[np.searchsorted(first, unlike, "right") - 1] = True
     kinds: dict[bytes, int] = {}
     for w in np.flatnonzero(other).tolist():
         word = sym[first[w] : last[w]].tobytes()
