@@ -1,10 +1,11 @@
 """WARC archives by way of a chunked record table.
 
-A page is a response record, or a revisit of the record with an equal payload. Payloads over CHUNK bytes are cut into
-rows of record identifier and chunk number, which the archive holds as segmented records (a response and its
-continuation records), so neither writer nor reader ever has a whole oversized record. Archives are written and read
-with Spark's own file sources alone, into any store, and each file has a bounded size. The reader gives the chunk table
-back; digests of segmented records are carried from chunk to chunk.
+A page is a response record, or a revisit of the record with an equal payload. Payloads become rows of record identifier
+and chunk number, of CHUNK bytes at most, before they reach the writer, which puts each row into the archive as a record
+of its own (a response and its continuation records); so neither writer nor reader ever has a whole oversized record.
+Archives are written and read with Spark's own file sources alone, into any store, and each file has a bounded size. The
+reader gives the chunk table back; digests of segmented records are carried from chunk to chunk, and a revisit is held
+against the responses that were read.
 
 Rows: a null html is an empty payload; a null url leaves out the target; a null page_id is written without one and read
 back as null. Of equal payloads of `least` bytes or more the largest page_id is the response and all others revisit it;
@@ -14,12 +15,13 @@ repeated rows of that page are all responses. Extra columns are ignored; empty t
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, partitions, small_batches, table, work_folder
+from .common import keep, partitions, small_batches, spread_join, table, work_folder
 
 CHUNK = 256 << 10
 #: Archive files hold at most PACKS rows of about PACK bytes.
@@ -29,13 +31,16 @@ CHUNKS = "record string, chunk long, total long, page_id long, url string, recor
 
 
 def plan(pages: DataFrame, least: int, folder: str) -> DataFrame:
-    """page_id, url, payload, digest, length, refers_to (null: a response)."""
+    """page_id, url, payload, digest, length, refers_to and refers_url (null: a response)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload")).withColumn("length", F.length("payload").cast("long"))
-    facts = keep(pages.where(F.col("length") >= least).select("page_id", "digest", "length"), folder, "facts")
-    shared = facts.groupBy("digest", "length").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null")
+    facts = keep(pages.where(F.col("length") >= least).select("page_id", "url", "digest", "length"), folder, "facts")
+    last = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("last")
+    shared = facts.groupBy("digest", "length").agg(last, F.count("*").alias("size")).where("size > 1 and last is not null")
+    shared = keep(shared.select("digest", "length", "size", F.col("last.page_id").alias("response"), F.col("last.url").alias("refers_url")), folder, "shared")
     # revisits by page and digest, so that equal payloads spread over all tasks when they meet their texts
-    again = facts.join(shared, ["digest", "length"]).where(~F.col("page_id").eqNullSafe(F.col("response"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("response").alias("refers_to")).distinct()
+    again = spread_join(facts.select("page_id", "digest", "length"), shared, ["digest", "length"], "page_id").where(~F.col("page_id").eqNullSafe(F.col("response")))
+    again = again.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("response").alias("refers_to"), "refers_url").distinct()
     return pages.join(again.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
 
 
@@ -45,64 +50,78 @@ def _record(kind: str, name: str, fields: list[tuple[str, object]], block: bytes
     return ("\r\n".join([*lines, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def records(name: str, page_id, url, payload, digest: str, length: int, refers_to):
-    """The records of one page, segment by segment."""
-    own = [("WARC-Target-URI", " ".join(url.split()) if url else None), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page_id), ("X-Payload-Length", length)]
-    if refers_to is not None:
-        own += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", refers_to), ("Content-Type", "application/http;msgtype=response")]
-        yield _record("revisit", name, own, b"HTTP/1.1 200 OK\r\n\r\n")
-        return
-    total = max(1, -(-length // CHUNK))
-    own += [("X-Chunks", total), ("Content-Type", "application/http;msgtype=response")]
+def record(name: str, page_id, url, chunk: int, total: int, data, digest: str, length: int, refers_to=None, refers_url=None) -> bytes:
+    """The WARC record of one row of the chunk table."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-    yield _record("response", name, [*own, ("WARC-Segment-Number", 1 if total > 1 else None)], head + payload[:CHUNK])
-    for k in range(1, total):
-        last = [("WARC-Segment-Total-Length", len(head) + length)] if k == total - 1 else []
-        yield _record("continuation", f"{name}:{k}", [("WARC-Segment-Origin-ID", f"<urn:record:{name}>"), ("WARC-Segment-Number", k + 1), ("X-Chunks", total), *last], payload[k * CHUNK : (k + 1) * CHUNK])
+    if chunk:
+        last = [("WARC-Segment-Total-Length", len(head) + length)] if chunk == total - 1 else []
+        return _record("continuation", f"{name}:{chunk}", [("WARC-Segment-Origin-ID", f"<urn:record:{name}>"), ("WARC-Segment-Number", chunk + 1), ("X-Chunks", total), *last], data)
+    own = [("WARC-Target-URI", _line(url)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page_id), ("X-Payload-Length", length)]
+    if refers_to is not None:
+        own += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", _line(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page", refers_to), ("Content-Type", "application/http;msgtype=response")]
+        return _record("revisit", name, own, b"HTTP/1.1 200 OK\r\n\r\n")
+    own += [("X-Chunks", total), ("Content-Type", "application/http;msgtype=response"), ("WARC-Segment-Number", 1 if total > 1 else None)]
+    return _record("response", name, own, head + data)
+
+
+def _line(url: str | None) -> str | None:
+    return " ".join(url.split()) or None if url else None
+
+
+def chunked(planned: DataFrame) -> DataFrame:
+    """A row for each chunk of each page's payload: CHUNK bytes at most, one row where it is empty or a revisit's."""
+    total = F.when(F.col("refers_to").isNull(), F.greatest(F.lit(1), F.ceil(F.col("length") / CHUNK))).otherwise(1).cast("int")
+    empty = F.lit(b"")
+    part = lambda k: F.struct(k.alias("chunk"), F.when(F.col("refers_to").isNull(), F.substring("payload", k * CHUNK + 1, F.lit(CHUNK))).otherwise(empty).alias("data"))
+    named = planned.withColumn("name", F.monotonically_increasing_id().cast("string")).withColumn("total", total)
+    parts = F.explode(F.transform(F.sequence(F.lit(0), F.col("total") - 1), part)).alias("part")
+    return named.select("name", "page_id", "url", "total", "digest", "length", "refers_to", "refers_url", parts).select("name", "page_id", "url", "part.chunk", "total", "part.data", "digest", "length", "refers_to", "refers_url")
 
 
 def write(pages: DataFrame, path: str, folder: str, least: int = 1000) -> None:
     small_batches(pages.sparkSession)
-    planned = plan(pages, least, folder).withColumn("name", F.monotonically_increasing_id().cast("string"))
 
     def pack(batches):
         rows, size = [], 0
         for batch in batches:
-            cols = [batch.column(c) for c in ("name", "page_id", "url", "payload", "digest", "length", "refers_to")]
+            cols = [batch.column(c) for c in ("name", "page_id", "url", "chunk", "total", "data", "digest", "length", "refers_to", "refers_url")]
             for i in range(batch.num_rows):
-                name, page, url, _, digest, length, refers = (c[i].as_py() if k != 3 else None for k, c in enumerate(cols))
-                view = memoryview(cols[3][i].as_buffer())
-                for record in records(name, page, url, view, digest, length, refers):
-                    rows.append(record)
-                    size += len(record)
-                    if size >= PACK:
-                        yield _packed(rows)
-                        rows, size = [], 0
+                rows.append(record(*(c[i].as_py() for c in cols)))
+                size += len(rows[-1])
+                if size >= PACK:
+                    yield _packed(rows)
+                    rows, size = [], 0
         if rows:
             yield _packed(rows)
 
     # the text writer ends a row with the line feed that is the record's last byte
-    planned.mapInArrow(pack, "value binary").select(F.col("value").cast("string")).write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", PACKS).text(path)
+    packed = chunked(plan(pages, least, folder)).mapInArrow(pack, "value binary").select(F.col("value").cast("string"))
+    packed.write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", PACKS).text(path)
 
 
 def _packed(rows: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b"".join(rows)[:-1]], pa.binary())], names=["value"])
 
 
+_BLANK_LINE = re.compile(rb"\r\n\r\n")
+
+
 def parse(view: memoryview):
-    """(type, fields, block) of each record of an archive; raises where the framing is broken."""
-    raw, at = bytes(view), 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        version, *lines = raw[at:end].decode().split("\r\n")
+    """(type, fields, block) of each record of an archive, nothing copied; raises where the framing is broken."""
+    at = 0
+    while at < len(view):
+        end = _BLANK_LINE.search(view, at)
+        if end is None:
+            raise ValueError("a record without a header's end")
+        version, *lines = bytes(view[at : end.start()]).decode().split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError("not a WARC record")
         fields = dict(x.split(": ", 1) for x in lines)
-        n = int(fields["Content-Length"])
-        if raw[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+        stop = end.end() + int(fields["Content-Length"])
+        if view[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError("a record doesn't end where it says")
-        yield fields["WARC-Type"], fields, view[end + 4 : end + 4 + n]
-        at = end + 8 + n
+        yield fields["WARC-Type"], fields, view[end.end() : stop]
+        at = stop + 4
 
 
 def _int(x: str | None) -> int | None:
@@ -176,18 +195,26 @@ def _digests(batches):
         yield table_()
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each response and revisit of the archives; intact: payload, digest and chunks are as declared."""
+def read_pages(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """A row for each response and revisit of the archives; intact: payload, digest and chunks are as declared, and a
+    revisit's response was read with the same digest and length."""
     chunks = read_chunks(spark, path)
     short = chunks.where("total = 1").mapInArrow(_digests, PAGES)
     long_ = chunks.where("total > 1").repartition(partitions(spark), "record").sortWithinPartitions("record", "chunk")
-    return short.union(long_.mapInArrow(_digests, PAGES))
+    pages = keep(short.union(long_.mapInArrow(_digests, PAGES)), folder, "read")
+    same = ["refers_to", "payload_digest", "payload_bytes"]
+    revisits = pages.where("record_type = 'revisit'")
+    wanted = keep(revisits.groupBy(*same).agg(F.count("*").alias("size")), folder, "wanted")
+    responses = pages.where("record_type = 'response' and intact").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    there = wanted.join(responses, same, "left_semi").withColumn("there", F.lit(True))
+    checked = spread_join(revisits.drop("intact"), there, same, "page_id", wanted, "left").withColumn("intact", F.coalesce("there", F.lit(False)))
+    return pages.where("record_type <> 'revisit'").unionByName(checked.drop("there"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark)
     write(table(spark, sf_dir, "pages"), f"{folder}/warc", folder)
-    return read_pages(spark, f"{folder}/warc")
+    return read_pages(spark, f"{folder}/warc", folder)
 
 
 OP7_SQL = """

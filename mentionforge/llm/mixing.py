@@ -11,8 +11,8 @@ from large to small, and each takes the whole number of copies that keeps the ru
 target. So a group misses by about half its smallest documents, and reruns agree.
 
 Rows: a null text has size 0, takes nothing and gets no copies; null is a source of its own, last in order. Sources
-without tokens have target 0. Rows of equal doc_id, source and size get equal places up to their order; each row is
-mixed. Extra columns are ignored by mix(); an empty table gives an empty table. Texts are taken whole.
+without tokens have target 0. Rows of equal doc_id, source and size are counted before they are dealt, take their copies
+together and share them out evenly; each row is mixed. Extra columns are ignored by mix(); an empty table gives an empty table. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -102,14 +102,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = rows.withColumn("rate", rate)
     group = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_docs") / GROUP)))
     rows = rows.withColumn("part", group)
-    item = F.struct((-F.col("size")).alias("minus"), "doc_id", "rate")
-    packed = rows.groupBy("no", "part").agg(F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.array_sort(F.collect_list(item)).alias("items"))
-    fold = f"""aggregate(items, named_struct('goal', 0D, 'taken', 0L, 'out', cast(array() as array<int>)),
-        (acc, x) -> named_struct('goal', acc.goal + x.rate * -x.minus, 'taken', acc.taken + {{copies}} * -x.minus, 'out', concat(acc.out, array({{copies}}))), acc -> acc.out)"""
-    copies = f"cast(if(x.minus = 0, 0, greatest(0D, least({float(most)}D, round((acc.goal + x.rate * -x.minus - acc.taken) / -x.minus)))) as int)"
+    alike = rows.groupBy("no", "part", "doc_id", "size").agg(*(F.first(c).alias(c) for c in ("source", "source_size", "target", "rate")), F.count("*").alias("n"))
+    item = F.struct((-F.col("size")).alias("minus"), "doc_id", "rate", "n")
+    packed = alike.groupBy("no", "part").agg(F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.array_sort(F.collect_list(item)).alias("items"))
+    fold = f"""aggregate(items, named_struct('goal', 0D, 'taken', 0L, 'out', cast(array() as array<bigint>)),
+        (acc, x) -> named_struct('goal', acc.goal + x.rate * -x.minus * x.n, 'taken', acc.taken + {{copies}} * -x.minus, 'out', concat(acc.out, array({{copies}}))), acc -> acc.out)"""
+    copies = f"cast(if(x.minus = 0, 0, greatest(0D, least({float(most)}D * x.n, round((acc.goal + x.rate * -x.minus * x.n - acc.taken) / -x.minus)))) as bigint)"
     packed = packed.withColumn("copies", F.expr(fold.format(copies=copies)))
     out = packed.select("source", "source_size", "target", F.explode(F.arrays_zip("items", "copies")).alias("x"))
-    return out.select(F.col("x.items.doc_id").alias("doc_id"), "source", (-F.col("x.items.minus")).alias("size"), "source_size", "target", F.col("x.items.rate").alias("rate"), F.col("x.copies").alias("copies"))
+    out = out.select(F.col("x.items.doc_id").alias("doc_id"), "source", (-F.col("x.items.minus")).alias("size"), "source_size", "target", F.col("x.items.rate").alias("rate"), F.col("x.items.n").alias("n"), F.col("x.copies").alias("copies"))
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    own = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("nth") <= F.col("copies") % F.col("n"), 1).otherwise(0)
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", own.cast("int").alias("copies"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, keep, small_batches, table, work_folder
+from .common import components, keep, small_batches, spread_join, table, work_folder
 
 BANDS, ROWS = 32, 5
 BATCH = 20
@@ -93,8 +93,8 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.where("n > 0").select("node", "signature").mapInArrow(run, "bucket long, band int, node long")
 
 
-def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """The pairs (a, b) that sequential comparison of their signatures doesn't rule out."""
+def _bayes(pairs: DataFrame, sizes: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """The pairs (a, b) that sequential comparison of their signatures doesn't rule out. sizes: pairs of each a."""
     rule = least_matches(threshold, miss)
 
     def run(batches):
@@ -113,13 +113,13 @@ def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(idx) for c in "ab"], names=["a", "b"])
 
     sig = classes.select("node", "signature")
-    one = pairs.join(sig.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
+    one = spread_join(pairs, sig.select(F.col("node").alias("a"), F.col("signature").alias("sa")), ["a"], "b", sizes)
     two = one.join(sig.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
     return two.mapInArrow(run, "a long, b long")
 
 
-def _exact(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def _exact(pairs: DataFrame, sizes: DataFrame, store: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union. sizes: pairs of each a."""
 
     def run(batches):
         for batch in batches:
@@ -130,7 +130,7 @@ def _exact(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).take(idx) for c in "ab"], names=["a", "b"])
 
     one = pairs.join(store.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
-    two = one.join(store.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
+    two = spread_join(one, store.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), ["a"], "b", sizes)
     return two.mapInArrow(run, "a long, b long")
 
 
@@ -147,14 +147,14 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (m + n - same)
 
 
-def _blocks(members: DataFrame, with_sets: bool) -> DataFrame:
+def _blocks(members: DataFrame, with_sets: bool, folder: str, name: str) -> DataFrame:
     """members (bucket, n, ...) dealt into blocks (big, bin, p, q): a large bucket chunk by chunk against chunk, small
     buckets together. A block holds two chunks at most."""
     total = members.count()
     chunks = F.ceil(F.count("*") / CHUNK)
     chunks = F.greatest(chunks, F.ceil(F.sum("n") * 16 / CHUNK_BYTES)) if with_sets else chunks
-    sizes = members.groupBy("bucket").agg(chunks.cast("int").alias("chunks"))
-    placed = members.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    sizes = keep(members.groupBy("bucket").agg(chunks.cast("int").alias("chunks"), F.count("*").alias("size")), folder, name)
+    placed = spread_join(members, sizes, ["bucket"], "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     big = F.col("chunks") > 1
     bins = max(1, -(-total // BIN))
@@ -247,13 +247,13 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     folder = work_folder(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = keep(sets(docs, "doc_id", "text", width, False), folder, "rows")
-    first = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "signature")).alias("x"))
-    classes = keep(first.select(F.monotonically_increasing_id().alias("node"), "key", "x.doc_id", "x.n", "x.signature"), folder, "classes")
+    first = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "signature")).alias("x"), F.count("*").alias("size"))
+    classes = keep(first.select(F.monotonically_increasing_id().alias("node"), "key", "size", "x.doc_id", "x.n", "x.signature"), folder, "classes")
 
     # buckets of two classes or more, each with a leader
-    bands = _bands(classes)
-    heads = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    buckets = keep(bands.join(heads.drop("size"), "bucket"), folder, "buckets")
+    bands = keep(_bands(classes), folder, "bands")
+    heads = keep(bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1"), folder, "heads")
+    buckets = keep(spread_join(bands, heads, ["bucket"], "node"), folder, "buckets")
 
     stored: list[DataFrame] = []
 
@@ -271,17 +271,19 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         return both
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left = keep(_bayes(pairs, classes, percent / 100, miss), folder, f"{name}-survivors")
+        sizes = keep(pairs.groupBy("a").agg(F.count("*").alias("size")), folder, f"{name}-sizes")
+        left = keep(_bayes(pairs, sizes, classes, percent / 100, miss), folder, f"{name}-survivors")
         nodes = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-        return keep(_exact(left, store(nodes, name), percent), folder, f"{name}-links")
+        return keep(_exact(left, sizes, store(nodes, name), percent), folder, f"{name}-links")
 
     def mixed(members: DataFrame, groups: DataFrame, name: str) -> DataFrame:
         """Members of buckets that hold more than one component, with their component and a new leader."""
         named = members.join(groups.withColumnRenamed("component", "own"), "node", "left").select("bucket", "band", "node", F.coalesce("own", "node").alias("own"))
         named = keep(named, folder, f"{name}-named")
         lead = F.min(F.struct(F.xxhash64("node", F.lit(name)).alias("h"), "node", "own")).alias("lead")
-        split = named.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), lead).where("lo <> hi")
-        return keep(named.join(split.select("bucket", F.col("lead.node").alias("leader"), F.col("lead.own").alias("lead_own")), "bucket"), folder, name)
+        split = named.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), lead, F.count("*").alias("size")).where("lo <> hi")
+        split = keep(split.select("bucket", F.col("lead.node").alias("leader"), F.col("lead.own").alias("lead_own"), "size"), folder, f"{name}-split")
+        return keep(spread_join(named, split, ["bucket"], "node"), folder, name)
 
     tested = keep(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), folder, "pairs-0")
     links = verified(tested, "round-0")
@@ -297,17 +299,18 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     # what is left, chunk against chunk: first by signatures alone, then with the sets of those still in question
     rule, block = least_matches(percent / 100, miss), ["big", "bin", "p", "q"]
     members = members.select("bucket", "band", "node", "own").join(classes.select("node", "n"), "node")
-    signed = _blocks(members, False).join(classes.select("node", "signature"), "node")
+    signed = _blocks(members, False, folder, "blocks").join(classes.select("node", "signature"), "node")
     live = keep(signed.groupBy(*block).applyInArrow(_open_nodes(rule), "node long").distinct(), folder, "open-nodes")
     members = keep(members.join(live, "node", "left_semi"), folder, "open-members")
-    full = _blocks(members, True).join(classes.select("node", "signature").join(live, "node", "left_semi"), "node").join(store(live, "open"), "node")
+    full = _blocks(members, True, folder, "open-blocks").join(classes.select("node", "signature").join(live, "node", "left_semi"), "node").join(store(live, "open"), "node")
     links = links.union(keep(full.groupBy(*block).applyInArrow(_block_links(rule, percent), "a long, b long"), folder, "open-links"))
     groups = components(links, folder, "groups")
 
-    named = classes.join(groups.withColumnRenamed("component", "own"), "node", "left").select("node", "key", "doc_id", F.coalesce("own", "node").alias("own"))
-    least = named.groupBy("own").agg(F.min("doc_id").alias("component_id"))
-    named = keep(named.join(least, "own").select("key", "component_id"), folder, "named")
-    out = rows.select("doc_id", "n", "key").join(named, "key")
+    named = classes.join(groups.withColumnRenamed("component", "own"), "node", "left").select("node", "key", "size", "doc_id", F.coalesce("own", "node").alias("own"))
+    named = keep(named.withColumnRenamed("size", "rows"), folder, "named")
+    least = keep(named.groupBy("own").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")), folder, "least")
+    named = keep(spread_join(named, least, ["own"], "node").select("key", "component_id", F.col("rows").alias("size")), folder, "components")
+    out = spread_join(rows.select("doc_id", "n", "key"), named, ["key"], "doc_id")
     # documents without shingles are alone, though their sets are equal
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

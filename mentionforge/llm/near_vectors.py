@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keep, partitions, small_batches, table, work_folder
+from .common import components, keep, partitions, small_batches, spread_join, table, work_folder
 from .vectors import by_width, dense, matrix, usable
 
 WINDOW = 256
@@ -221,13 +221,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 1e-5
     loose = pairs.union(pairs.select("b", "a")).union(seen.where("b is not null").select(F.col("b").alias("a"), F.col("a").alias("b")).join(crowded.withColumnRenamed("node", "a"), "a", "left_anti").select("a", "b"))
     counted = loose.join(weight.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("n").alias("more"))
     counted = counted.union(seen.where("b is null").groupBy("a").agg(F.sum("n").alias("more"))).groupBy("a").agg(F.sum("more").alias("more"))
-    named = classes.join(counted.withColumnRenamed("a", "node"), "node", "left").join(groups, "node", "left").select("node", "label", "embedding", "vec_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("own"))
+    named = classes.join(counted.withColumnRenamed("a", "node"), "node", "left").join(groups, "node", "left").select("node", "label", "embedding", "vec_id", "n", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("own"))
     named = keep(named, folder, "named")
-    least = named.groupBy("own").agg(F.min("vec_id").alias("component_id"))
-    named = named.join(least, "own").select(F.col("label").alias("l"), F.col("embedding").alias("e"), "n_links", "component_id")
+    least = keep(named.groupBy("own").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("size")), folder, "least")
+    named = keep(spread_join(named.drop("vec_id"), least, ["own"], "node").select("label", "embedding", "n_links", "component_id", F.col("n").alias("size")), folder, "components")
 
+    # copies of one vector may be many: they meet their class in several tasks
     alike = dense(rows.where(F.col("label").isNotNull()), "embedding")
-    linked = alike.join(named, (alike["label"] == named["l"]) & (alike["embedding"] == named["e"])).select("vec_id", "n_links", "component_id")
+    linked = spread_join(alike, named, ["label", "embedding"], "vec_id").select("vec_id", "n_links", "component_id")
     alone = rows.where(~(usable(F.col("embedding")) & F.col("label").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.union(alone)
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

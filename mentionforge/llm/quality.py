@@ -2,8 +2,9 @@
 
 Statistics of every whole text (shape of its bytes, words and lines, and how much repeats) are standardised and mapped
 by random Fourier features, which approximate a Gaussian kernel. Ridge weights come from normal equations summed within
-partitions and then by groups, so the driver sees a fixed number of small matrices. Isotonic regression over score bins
-turns ridge scores into probabilities; a small share of the raw score keeps order within its steps.
+partitions and then in a tree of bounded fan-in, so neither a task nor the driver sees more than FAN matrices. Isotonic
+regression over score bins turns ridge scores into probabilities; it is fitted on labelled rows that the ridge weights
+have not seen (one in CALIBRATION by a hash), and between the middles of its steps the score is linear.
 
 Only the text is an input of a score. Rows: null and empty texts have all statistics 0 and get a score. Labels that are
 null, or of documents not there, are ignored; several labels of a document are averaged. Without any usable label every
@@ -14,16 +15,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import keep, small_batches, table, work_folder
 
-FEATURES = 256
-RIDGE = 1.0
-GAMMA = 0.5
+FEATURES = 384
+RIDGE = 1e-2
+GAMMA = 0.25
 BINS = 2048
+#: One labelled row in so many calibrates; the others teach.
+CALIBRATION = 4
+#: Partial sums that one task or the driver adds up.
+FAN = 32
 SYMBOLS = b"*$#%&@^~=+<>_{}[]\\/"
 
 
@@ -119,8 +125,8 @@ def measure(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, stats binary")
 
 
-def _summed(df: DataFrame, row, width: int) -> np.ndarray:
-    """The sum over all rows of a vector that row(batch) gives for a batch: by partition, by group, then the rest."""
+def _summed(df: DataFrame, row, width: int, folder: str, name: str) -> np.ndarray:
+    """The sum over all rows of a vector that row(batch) gives for a batch: by partition, then in a tree."""
 
     def part(batches):
         total = None
@@ -129,14 +135,18 @@ def _summed(df: DataFrame, row, width: int) -> np.ndarray:
                 x = row(batch)
                 total = x if total is None else total + x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([K.binary_column([total.tobytes()])], names=["sum"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), K.binary_column([total.tobytes()])], names=["part", "sum"])
 
     def group(key, t):
-        return pa.table({"sum": K.binary_column([sum(np.frombuffer(x.as_py()) for x in t.column("sum")).tobytes()])})
+        return pa.table({"part": pa.array([key[0].as_py()]), "sum": K.binary_column([sum(np.frombuffer(x.as_buffer()) for x in t.column("sum")).tobytes()])})
 
-    parts = df.mapInArrow(part, "sum binary").withColumn("g", F.spark_partition_id() % 16)
-    rows = parts.groupBy("g").applyInArrow(group, "sum binary").collect()
-    return sum((np.frombuffer(r[0]) for r in rows), np.zeros(width))
+    parts, level = keep(df.mapInArrow(part, "part long, sum binary"), folder, f"{name}-0"), 0
+    while parts.count() > FAN:
+        level += 1
+        above = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("long"))
+        parts = keep(above.groupBy("part").applyInArrow(group, "part long, sum binary"), folder, f"{name}-{level}")
+    # in order, so that reruns add up alike
+    return sum((np.frombuffer(r[0]) for r in parts.orderBy("part").select("sum").collect()), np.zeros(width))
 
 
 class Model:
@@ -146,7 +156,7 @@ class Model:
     def mapped(self, stats: np.ndarray) -> np.ndarray:
         x = np.clip((stats - self.mean) / self.scale, -6, 6)
         z = np.cos(x @ self.omega + self.phase) * np.sqrt(2 / self.omega.shape[1])
-        return np.concatenate([z, x / np.sqrt(x.shape[1]), np.ones((len(x), 1))], 1)
+        return np.concatenate([z, np.ones((len(x), 1))], 1)
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.mapped(stats) @ self.weights
@@ -154,9 +164,7 @@ class Model:
     def score(self, stats: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(stats), 0.5)
-        raw = self.raw(stats)
-        level = np.interp(raw, self.edges, self.levels)
-        return np.clip(0.98 * level + 0.02 / (1 + np.exp(-8 * (raw - 0.5))), 0, 1)
+        return np.clip(np.interp(self.raw(stats), self.edges, self.levels), 0, 1)
 
 
 def isotonic(x: np.ndarray, total: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,15 +178,16 @@ def isotonic(x: np.ndarray, total: np.ndarray, count: np.ndarray) -> tuple[np.nd
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def fit(rows: DataFrame, seed: int = 11) -> Model:
-    """rows: stats and y (0 to 1)."""
+def fit(rows: DataFrame, folder: str, seed: int = 11) -> Model:
+    """rows: stats, y (0 to 1) and calibrates (kept from the ridge weights)."""
     d = N_STATS
+    teach = rows.where(~F.col("calibrates"))
 
     def moments(batch):
         x = _matrix(batch.column("stats"))
         return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
 
-    total = _summed(rows, moments, 1 + 2 * d)
+    total = _summed(teach, moments, 1 + 2 * d, folder, "moments")
     n = total[0]
     rng = np.random.Generator(np.random.PCG64(seed))
     omega = rng.normal(0, np.sqrt(2 * GAMMA / d), (d, FEATURES))
@@ -187,37 +196,47 @@ def fit(rows: DataFrame, seed: int = 11) -> Model:
         return Model(np.zeros(d), np.ones(d), omega, phase, None, None, None)
     mean = total[1 : 1 + d] / n
     model = Model(mean, np.sqrt(np.maximum(total[1 + d :] / n - mean**2, 0)) + 1e-3, omega, phase, None, None, None)
-    width = FEATURES + d + 1
+    width = FEATURES + 1
+    upper = np.triu_indices(width)
 
     def normal(batch):
         z, y = model.mapped(_matrix(batch.column("stats"))), batch.column("y").to_numpy()
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        return np.concatenate([(z.T @ z)[upper], z.T @ y])
 
-    total = _summed(rows, normal, width * width + width)
-    gram = total[: width * width].reshape(width, width) + RIDGE * np.eye(width)
-    gram[-1, -1] -= RIDGE * 0.999
-    model.weights = np.linalg.solve(gram, total[width * width :])
+    total = _summed(teach, normal, len(upper[0]) + width, folder, "normal")
+    gram = np.zeros((width, width))
+    gram[upper] = total[: len(upper[0])]
+    gram = gram + np.triu(gram, 1).T + RIDGE * np.eye(width)
+    model.weights = np.linalg.solve(gram, total[len(upper[0]) :])
 
     def bins(batch):
         raw, y = model.raw(_matrix(batch.column("stats"))), batch.column("y").to_numpy()
         at = np.clip(((raw + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, y, BINS), np.bincount(at, raw, BINS)])
 
-    count, hits, raws = _summed(rows, bins, 3 * BINS).reshape(3, BINS)
+    count, hits, raws = _summed(rows.where("calibrates"), bins, 3 * BINS, folder, "bins").reshape(3, BINS)
     full = count > 0
-    model.edges, model.levels = isotonic(raws[full] / count[full], hits[full], count[full])
+    if full.any():
+        model.edges, model.levels = isotonic(raws[full] / count[full], hits[full], count[full])
+    else:
+        model.edges, model.levels = np.array([0.0, 1.0]), np.array([0.0, 1.0])
     return model
 
 
+def _taught(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """(doc_id, y, calibrates) of usable labels, one row a document."""
+    usable = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
+    return usable.groupBy(doc_id).agg(F.avg(label).alias("y")).withColumn("calibrates", F.pmod(F.xxhash64(doc_id), F.lit(CALIBRATION)) == 0)
+
+
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", train=None) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs. train(column of doc_id): which rows may teach."""
     folder = work_folder(docs.sparkSession)
     held = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % 3 == 1
     train = train or (lambda c: ~held(c))
     stats = keep(measure(docs, doc_id, text), folder, "stats")
-    taught = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(train(F.col(doc_id))).groupBy(doc_id).agg(F.avg(label).alias("y"))
-    rows = keep(stats.join(taught, doc_id).select("stats", "y"), folder, "taught")
-    model = fit(rows)
+    rows = keep(stats.join(_taught(labels.where(train(F.col(doc_id))), doc_id, label), doc_id).select("stats", "y", "calibrates"), folder, "taught")
+    model = fit(rows, folder)
 
     def run(batches):
         for batch in batches:
@@ -231,9 +250,9 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.5) -> DataFrame:
     """The rows of docs that score `least` or more, with all their columns; learns from all labels."""
     folder = work_folder(docs.sparkSession)
-    stats = keep(measure(docs, doc_id, text), folder, "stats")
-    taught = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.avg(label).alias("y"))
-    model = fit(keep(stats.join(taught, doc_id).select("stats", "y"), folder, "taught"))
+    taught = _taught(labels, doc_id, label)
+    stats = measure(docs.select(doc_id, text).join(taught.select(doc_id), doc_id, "left_semi"), doc_id, text)
+    model = fit(keep(keep(stats, folder, "stats").join(taught, doc_id).select("stats", "y", "calibrates"), folder, "taught"), folder)
 
     def run(batches):
         for batch, data, offs in K.slices(batches, text):

@@ -1,9 +1,10 @@
 """Secret scans over an incremental blob ledger, in DataFrame functions alone.
 
-Every version of every path is content-addressed by the SHA-256 of its text. The ledger holds the findings of each
-(blob, rule version) pair; only pairs it does not hold yet are scanned, each once however many paths share the blob,
-and findings are joined back to all paths. One path stands for each new blob (a grouped minimum over addresses, no
-texts), so texts move once, dealt by blob and path: copies of one blob spread over all tasks.
+Every version of every path is content-addressed by the SHA-256 of its text. The ledger says for each blob which rules
+it was scanned by (a kind and the digest of its pattern, so a changed rule is a new one) and what they found; only
+(blob, rule) pairs that it does not hold are scanned, each once however many paths share the blob, and findings are
+joined back to all paths. One path stands for each new blob (a grouped minimum over addresses, no texts), so texts move
+once, dealt by blob and path, and the paths of a blob with many copies meet its findings in several tasks.
 
 Rows: a null text is the empty blob and has no findings. Rows of equal path and text count once in the ledger and each
 get its findings; a null path is a path. Overlapping kinds are all kept, ordered by start, then kind as listed. Extra
@@ -12,10 +13,12 @@ columns are ignored; an empty table gives an empty table. Texts are taken whole;
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table, work_folder
+from .common import keep, spread_join, table, work_folder
 
 
 def _either_case(word: str) -> str:
@@ -28,15 +31,19 @@ KINDS = (
     ("assign", ASSIGN, None, 12),
     ("access", r"AKIA[A-Z0-9]{14,}", "AKIA", None),
     ("hex", r"[0-9a-f]{16,}", None, None),
-    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "PRIVATE KEY-----", None),
+    # with its body: up to the END line or, without one, the lines of base64
+    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[ \t\r\n]*[A-Za-z0-9+/=]{16,}){0,400})", "PRIVATE KEY-----", None),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", "gh", None),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", "xox", None),
     ("google", r"AIza[0-9A-Za-z_-]{35}", "AIza", None),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ", None),
 )
 BASE = ("assign", "access", "hex")
-#: Goes up with every change of KINDS, so that old ledger entries are scanned anew.
-RULES = "1"
+
+
+def rule_of(kind: str, pattern: str, needed: str | None, least: int | None) -> str:
+    """What the ledger knows a rule by."""
+    return f"{kind}:{hashlib.sha256(repr((pattern, needed, least)).encode()).hexdigest()[:16]}"
 
 
 def _spans(kind_no: int, kind: str, matches: Column, pieces: Column, pattern: str, least: int | None) -> Column:
@@ -58,43 +65,62 @@ def _spans(kind_no: int, kind: str, matches: Column, pieces: Column, pattern: st
     )
 
 
-def find(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
-    """df with the column `out`: array of (start, no, end, kind), ordered by start and kind."""
+SPANS = "array<struct<start:int,no:int,end:int,kind:string>>"
+
+
+def find(df: DataFrame, text: str, out: str = "spans", rules: str | None = None, kinds: tuple = KINDS) -> DataFrame:
+    """df with the column `out`: array of (start, no, end, kind), ordered by start and kind; by the rules that the
+    column `rules` lists, or by all."""
     own = F.coalesce(F.col(text), F.lit(""))
     empty = F.expr("cast(array() as array<string>)")
     found = {}
-    for kind, pattern, needed, _ in KINDS:
+    for kind, pattern, needed, least in kinds:
         hit = F.regexp_extract_all(own, F.lit(pattern), F.lit(0))
-        found[f"_m_{kind}"] = F.when(F.contains(own, F.lit(needed)), hit).otherwise(empty) if needed else hit
+        asked = [F.contains(own, F.lit(needed))] if needed else []
+        asked += [F.array_contains(rules, rule_of(kind, pattern, needed, least))] if rules else []
+        for condition in asked:
+            hit = F.when(condition, hit).otherwise(empty)
+        found[f"_m_{kind}"] = hit
     df = df.withColumns(found)
-    none = F.expr("cast(array() as array<struct<start:int,no:int,end:int,kind:string>>)")
-    parts = [F.when(F.size(f"_m_{kind}") > 0, _spans(no, kind, F.col(f"_m_{kind}"), F.split(own, pattern, -1), pattern, least)).otherwise(none) for no, (kind, pattern, _, least) in enumerate(KINDS)]
+    none = F.expr(f"cast(array() as {SPANS})")
+    parts = [F.when(F.size(f"_m_{kind}") > 0, _spans(no, kind, F.col(f"_m_{kind}"), F.split(own, pattern, -1), pattern, least)).otherwise(none) for no, (kind, pattern, _, least) in enumerate(kinds)]
     return df.withColumn(out, F.array_sort(F.concat(*parts))).drop(*found)
 
 
-def scan(versions: DataFrame, path: str, text: str, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def scan(versions: DataFrame, path: str, text: str, ledger: DataFrame | None = None, kinds: tuple = KINDS) -> tuple[DataFrame, DataFrame]:
     """(path, blob, spans) for every row of versions, and the ledger (blob, rules, spans) with what was scanned now.
 
-    Give the returned ledger, kept, to the next call: blobs already scanned under the same rules are not read again.
+    Give the returned ledger, kept, to the next call: a blob is read again only for rules it was not scanned by, and
+    what rules no longer in `kinds` had found is left out.
     """
     spark = versions.sparkSession
     folder = work_folder(spark)
     addressed = versions.select(F.col(path).alias("path"), F.col(text).alias("text"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
     places = keep(addressed.select("path", "blob"), folder, "places")
-    new = places.groupBy("blob").agg(F.min("path").alias("first"))
+    blobs = keep(places.groupBy("blob").agg(F.min("path").alias("first"), F.count("*").alias("size")), folder, "blobs")
+    rules = {kind: rule_of(kind, *rest) for kind, *rest in kinds}
+    every = F.array(*map(F.lit, rules.values()))
+    new = blobs.select(F.col("blob").alias("new_blob"), "first", every.alias("rules"))
+    if ledger is not None:
+        done = ledger.groupBy(F.col("blob").alias("new_blob")).agg(F.flatten(F.collect_set("rules")).alias("done"))
+        left = F.array_except("rules", F.coalesce("done", F.expr("cast(array() as array<string>)")))
+        new = new.join(done, "new_blob", "left").select("new_blob", "first", left.alias("rules")).where(F.size("rules") > 0)
+    unseen = addressed.join(new.hint("shuffle_hash"), (F.col("blob") == F.col("new_blob")) & F.col("path").eqNullSafe(F.col("first"))).select("blob", "text", "rules")
+    scanned = find(unseen, "text", rules="rules" if ledger is not None else None, kinds=kinds).select("blob", "rules", "spans")
+    scanned = keep(scanned.groupBy("blob").agg(F.min("rules").alias("rules"), F.min("spans").alias("spans")), folder, "scanned")
+    known, held = scanned, scanned
     if ledger is not None:
-        new = new.join(ledger.where(F.col("rules") == RULES).select("blob"), "blob", "left_anti")
-    new = new.withColumnRenamed("blob", "new_blob")
-    unseen = addressed.join(new.hint("shuffle_hash"), (F.col("blob") == F.col("new_blob")) & F.col("path").eqNullSafe(F.col("first"))).select("blob", "text")
-    scanned = find(unseen, "text").select("blob", "spans").groupBy("blob").agg(F.min("spans").alias("spans"))
-    scanned = keep(scanned.select("blob", F.lit(RULES).alias("rules"), "spans"), folder, "scanned")
-    known = scanned if ledger is None else ledger.unionByName(scanned)
-    findings = places.join(known.where((F.col("rules") == RULES) & (F.size("spans") > 0)).select("blob", "spans"), "blob", "left")
-    none = F.expr("cast(array() as array<struct<start:int,no:int,end:int,kind:string>>)")
-    return findings.select("path", "blob", F.coalesce("spans", none).alias("spans")), known
-
-
-def redact(df: DataFrame, text: str, spans: str = "spans", mark: str = "[SECRET]") -> Column:
+        known = ledger.select("blob", "rules", "spans").unionByName(scanned)
+        now = F.create_map(*(F.lit(x) for pair in rules.items() for x in pair))
+        number = F.create_map(*(F.lit(x) for n, kind in enumerate(rules) for x in (kind, n)))
+        live = F.filter("spans", lambda s: F.array_contains("rules", now[s["kind"]]))
+        live = F.transform(live, lambda s: F.struct(s["start"].alias("start"), number[s["kind"]].alias("no"), s["end"].alias("end"), s["kind"].alias("kind")))
+        held = known.select("blob", live.alias("spans")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    findings = spread_join(places, held.where(F.size("spans") > 0).select("blob", "spans"), ["blob"], "path", blobs, "left")
+    return findings.select("path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans")), known
+
+
+def redact(df: DataFrame | None, text: str, spans: str = "spans", mark: str = "[SECRET]") -> Column:
     """The text with every maximal run of bytes that some span covers replaced by the mark."""
     cut = F.aggregate(
         F.col(spans),

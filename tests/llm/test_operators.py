@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from mentionforge.llm import archives, kernels, license_rules, licenses, mixing, near_copies, near_vectors, neighbours, piece_codec, quality, repeats, secrets
+from mentionforge.llm import archives, common, kernels, license_rules, licenses, mixing, near_copies, near_vectors, neighbours, piece_codec, quality, repeats, secrets
 from mentionforge.llm.queries import QUERIES
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -106,10 +106,32 @@ def test_ledger(spark):
     more = spark.createDataFrame([("c", KEY), ("d", "y" + KEY)], "path string, text string")
     found, ledger = secrets.scan(more, "path", "text", ledger)
     assert sorted((r.path, len(r.spans)) for r in found.collect()) == [("c", 1), ("d", 1)] and ledger.count() == 3
+    assert {len(r.rules) for r in ledger.collect()} == {len(secrets.KINDS)}
     hidden = secrets.find(more, "text").select(secrets.redact(more, "text")).collect()
     assert [r[0] for r in hidden] == ["[SECRET]", "y[SECRET]"]
 
 
+def test_ledger_of_changed_rules(spark):
+    """Only the rule that changed is run again, and what its old form found is gone."""
+    rows = spark.createDataFrame([("a", KEY + " 0123456789abcdef0123"), ("b", KEY)], "path string, text string")
+    _, ledger = secrets.scan(rows, "path", "text")
+    kinds = tuple((k, r"[0-9a-f]{20,}" if k == "hex" else p, n, m) for k, p, n, m in secrets.KINDS)
+    found, ledger = secrets.scan(rows, "path", "text", ledger, kinds)
+    assert sorted((r.path, [(s.kind, s.start, s.end) for s in r.spans]) for r in found.collect()) == [("a", [("access", 0, 20), ("hex", 21, 41)]), ("b", [("access", 0, 20)])]
+    assert sorted(len(r.rules) for r in ledger.collect()) == [1, 1, len(kinds), len(kinds)]
+    found, ledger = secrets.scan(rows, "path", "text", ledger, kinds)
+    assert ledger.count() == 4 and found.where("path = 'a'").first().spans[1].kind == "hex"
+
+
+def test_private_keys(spark):
+    body = "\n".join("Zz9+" * 16 for _ in range(5))
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}\nab==\n-----END RSA PRIVATE KEY-----"
+    torn = f"-----BEGIN PRIVATE KEY-----\n{body}"
+    rows = [(1, f"x {whole} words after - and more"), (2, f"x {torn} words after, and more"), (3, "-----BEGIN PRIVATE KEY----- is how it starts")]
+    got = {r.doc_id: r.t for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string"), "text").withColumn("t", secrets.redact(None, "text")).collect()}
+    assert got == {1: "x [SECRET] words after - and more", 2: "x [SECRET] words after, and more", 3: "[SECRET] is how it starts"}
+
+
 def clusters(seed=2):
     rng = np.random.default_rng(seed)
     out = []
@@ -164,6 +186,40 @@ def test_near_vectors_of_a_dense_topic(spark):
     assert links.sum() > 1000 and [got[i] for i in range(len(x))] == links.tolist()
 
 
+@pytest.mark.parametrize("cosine, n", [(0.90, 6000), (0.88, 10000)])
+def test_near_vectors_of_a_cone(spark, cosine, n):
+    """Vectors that are all alike and mostly unlinked: their first bits hardly differ."""
+    rng = np.random.default_rng(5)
+    axis = rng.normal(size=64)
+    x = axis / np.linalg.norm(axis) + rng.normal(scale=np.sqrt((1 / cosine - 1) / 64), size=(n, 64))
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum(1) - 1
+    assert links.sum() > 100_000 and [got[i] for i in range(n)] == links.tolist()
+
+
+def test_cells_grow_and_probes_fall():
+    """Cells grow with the rows, the share of them that is probed falls, and what is probed is nearest."""
+    shapes = [neighbours.shape_for(64, n) for n in (500, 2000, 50_000, 10**6, 10**9)]
+    assert [s.cells for s in shapes] == sorted(s.cells for s in shapes) and shapes[-1].cells > shapes[0].cells
+    share = [s.probes / s.cells for s in shapes]
+    assert share == sorted(share, reverse=True) and share[-1] < share[0] / 10
+    y = neighbours.turned(neighbours._unit(np.random.default_rng(0).normal(size=(50, 64))), 0, 1)
+    for shape in (shapes[1], neighbours.shape_for(3, 100), neighbours.shape_for(1, 9)):
+        z = y[:, : max(2, shape.axes * shape.polytopes // 2)]
+        cells = neighbours.probed(z, shape)
+        assert all(c in own for c, own in zip(neighbours.cell_of(z, shape), cells)) and all(len(set(own)) == shape.probes for own in cells.tolist())
+
+
+def test_scores_do_not_depend_on_the_block():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(40, 63)), rng.normal(size=(50, 63))
+    i, j = (v.ravel() for v in np.meshgrid(np.arange(40), np.arange(50), indexing="ij"))
+    whole = neighbours._products(x, y, i, j)
+    assert all(neighbours._products(x[a : a + 1], y[b : b + 1], np.array([0]), np.array([0]))[0] == v for a, b, v in zip(i, j, whole))
+
+
 def test_neighbours(spark, vectors):
     rows = QUERIES["op4_neighbours"](spark, vectors).collect()
     base = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{vectors}/embeddings.parquet").collect() if r.embedding and len(r.embedding) == 32 and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)}
@@ -203,6 +259,25 @@ def test_neighbours_of_few(spark):
     assert [(r.rank, r.vec_id) for r in neighbours.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
+def test_joins_of_hot_keys(spark, monkeypatch):
+    """A key with most of the rows is dealt over tasks, and the join gives what a plain one gives."""
+    monkeypatch.setattr(common, "FLOOR", 10)
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(600)], "k long, v long")
+    facts = spark.createDataFrame([(1, "hot", 400), (3, "x", 1), (6, "y", 1), (700, "none", 0)], "k long, f string, size long")
+    for how in ("inner", "left"):
+        got = common.spread_join(rows, facts, ["k"], "v", how=how)
+        assert "_salt" in got._jdf.queryExecution().toString()
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.join(facts.drop("size"), "k", how).collect()), key=str)
+
+
+def test_components_of_a_hub(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "FLOOR", 10)
+    edges = [(500, i) for i in range(100)] + [(i, i + 1) for i in range(200, 215)] + [(215, 3), (300, 301)]
+    got = common.components(spark.createDataFrame(edges, "a long, b long"), f"file://{tmp_path}", "hub")
+    want = {i: 0 for i in [*range(100), *range(200, 216), 500]} | {300: 300, 301: 300}
+    assert {r.node: r.component for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_codec(spark, folder):
     import sentencepiece
 
@@ -346,6 +421,51 @@ def test_quality(spark, tmp_path):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def test_quality_by_plain_numpy(spark, tmp_path):
+    """Features, normal equations, calibration and scores against a version without tables."""
+    path, rng = "file://" + str(tmp_path), random.Random(7)
+    make = lambda bad: " ".join(("*" if bad and rng.random() < 0.4 else "") + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 50)))
+    rows = [(i, make(i % 4 == 0)) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 400, 2)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    got = run(spark, "op8_quality", path)
+    raw = [t.encode() for _, t in rows]
+    x = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])])).astype(float)
+    for k, t in enumerate(raw):
+        words = t.split()
+        size, count = max(len(t), 1), max(len(words), 1)
+        assert np.allclose(x[k, [0, 2, 4, 8, 14]], [np.log1p(len(t)), sum(97 <= c < 123 for c in t) / size, t.count(b" ") / size, t.count(b"*") / size, np.log1p(len(words))], atol=1e-5)
+        assert np.isclose(x[k, 15], sum(map(len, words)) / count / 10, atol=1e-5) and np.isclose(x[k, 24], 1 - len(set(words)) / count if words else 0, atol=1e-5)
+    taught = spark.range(0, 400, 2).selectExpr("id", "pmod(xxhash64(id), 4) = 0 AS c").where("crc32(string(id)) % 3 <> 1").collect()
+    teach, calm = (np.array([r.id for r in taught if r.c == c]) for c in (False, True))
+    y = (np.arange(400) % 4 > 0).astype(float)
+    mean, scale = x[teach].mean(0), x[teach].std(0) + 1e-3
+    gen = np.random.Generator(np.random.PCG64(11))
+    omega, phase = gen.normal(0, np.sqrt(2 * quality.GAMMA / x.shape[1]), (x.shape[1], quality.FEATURES)), gen.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.cos(np.clip((x - mean) / scale, -6, 6) @ omega + phase) * np.sqrt(2 / quality.FEATURES)
+    z = np.concatenate([z, np.ones((400, 1))], 1)
+    w = np.linalg.solve(z[teach].T @ z[teach] + quality.RIDGE * np.eye(z.shape[1]), z[teach].T @ y[teach])
+    ridge = z @ w
+    bin_of = np.clip(((ridge[calm] + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    pools = [[[i] for i in calm[bin_of == b]] for b in np.unique(bin_of)]
+    pools = [[i for one in p for i in one] for p in pools]
+    k = 0
+    while k < len(pools) - 1:  # the slow way: join neighbours that are out of order, from the start again
+        if y[pools[k]].mean() >= y[pools[k + 1]].mean():
+            pools[k : k + 2], k = [pools[k] + pools[k + 1]], 0
+        else:
+            k += 1
+    want = np.clip(np.interp(ridge, [ridge[p].mean() for p in pools], [y[p].mean() for p in pools]), 0, 1)
+    assert np.allclose([got[i].score for i in range(400)], want, atol=1e-6)
+
+
+def test_sums_in_a_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "FAN", 3)
+    df = spark.range(0, 1000, 1, 40).selectExpr("id")
+    got = quality._summed(df, lambda b: np.array([b.num_rows, b.column("id").to_numpy().sum()], float), 2, f"file://{tmp_path}", "sum")
+    assert got.tolist() == [1000, 499500]
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0.0, 3, 1, 2, 4]), np.array([4.0] * 5))
     assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1
@@ -440,6 +560,46 @@ def test_mixing(spark, folder):
     assert {i: r.taken for i, r in run(spark, "op10_mixing", folder).items()} == {i: r.taken for i, r in got.items()}
 
 
+def test_mixing_of_repeated_rows(spark):
+    rows = [(1, "a b c", "s")] * 500 + [(2, "d e", "s")] * 3 + [(3, "f", "t")] * 40 + [(None, "g h", "t")] * 5
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows) and all(0 <= r.copies <= 3 for r in got)
+    for s in "st":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.copies * r["size"] for r in own) - own[0].target) <= 3
+    assert max(r.copies for r in got if r.doc_id == 1) - min(r.copies for r in got if r.doc_id == 1) <= 1
+
+
+def test_quality_stage(spark, tmp_path):
+    """Documents of the pipeline that score under a half go, all others stay as they are; all labels teach."""
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    rows = [(i, " ".join(word() for _ in range(40)) + "." if i % 3 else "*** ".join(word() for _ in range(40)), "en", f"s{i % 2}", i) for i in range(600)] + [(600, None, None, None, None), (601, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    kept = P.quality_stage(spark, docs, f"file://{tmp_path}")
+    assert kept.columns == list(P.COLUMNS)
+    got = {tuple(r) for r in kept.collect()}
+    assert got <= {tuple(r) for r in rows}
+    ids = {r[0] for r in got}
+    assert sum((i in ids) == (i % 3 > 0) for i in range(600)) >= 590
+
+
+def test_encoding_stage(spark, folder):
+    import corpus_pipeline as P
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r for r in P.encoding_stage(spark, docs.select(*P.COLUMNS), folder).collect()}
+    for d, t in enumerate(texts()):
+        ids = lib.encode(t or "", add_bos=True, add_eos=True)
+        assert list(struct.unpack(f"<{len(ids)}I", got[d].ids)) == ids and got[d].n_tokens == len(ids)
+        assert got[d].exact == (lib.decode(ids) == (t or "").replace("▁", " "))
+
+
 def test_pipeline(spark, folder, empty):
     import corpus_pipeline as P
 
@@ -467,8 +627,9 @@ def test_passes_grow_with_the_label():
 
 
 def test_archive_framing():
-    good = b"".join(archives.records("1", 1, "u", memoryview(b"x"), "d", 1, None))
-    assert [k for k, _, _ in archives.parse(memoryview(good))] == ["response"]
+    good = archives.record("1", 1, "u", 0, 1, b"x", "d", 1) + archives.record("2", 2, " a\r\nb ", 0, 1, b"", "d", 1, 1, "u")
+    got = list(archives.parse(memoryview(good)))
+    assert [k for k, _, _ in got] == ["response", "revisit"] and got[1][1]["WARC-Target-URI"] == "a b" and got[1][1]["WARC-Refers-To-Target-URI"] == "u"
     with pytest.raises(ValueError):
         list(archives.parse(memoryview(good[:-3] + b"zzz")))
 
