@@ -3,7 +3,8 @@
 A page is a response record, or a revisit of the record with an equal payload. Payloads become rows of record identifier
 and chunk number, of CHUNK bytes at most, before they reach the writer, which puts each row into the archive as a record
 of its own (a response and its continuation records); so neither writer nor reader ever has a whole oversized record.
-Archives are written and read with Spark's own file sources alone, into any store, and each file has a bounded size. The
+Archives are written, gzip-compressed, and read with Spark's own file sources alone, into any store, and each file has a
+bounded size. The
 reader gives the chunk table back; digests of segmented records are carried from chunk to chunk, and a revisit is held
 against the responses that were read.
 
@@ -14,6 +15,7 @@ repeated rows of that page are all responses. Extra columns are ignored; empty t
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 
@@ -96,7 +98,7 @@ def write(pages: DataFrame, path: str, folder: str, least: int = 1000) -> None:
 
     # the text writer ends a row with the line feed that is the record's last byte
     packed = chunked(plan(pages, least, folder)).mapInArrow(pack, "value binary").select(F.col("value").cast("string"))
-    packed.write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", PACKS).text(path)
+    packed.write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", PACKS).option("compression", "gzip").text(path)
 
 
 def _packed(rows: list[bytes]) -> pa.RecordBatch:
@@ -138,7 +140,8 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, size = [], 0
-                for kind, f, block in parse(memoryview(content.as_buffer())):
+                # a file holds PACKS packs, unpacked
+                for kind, f, block in parse(memoryview(gzip.decompress(content.as_buffer()))):
                     if kind == "continuation":
                         name = f["WARC-Segment-Origin-ID"]
                         row = (name, int(f["WARC-Segment-Number"]) - 1, int(f["X-Chunks"]), None, None, "continuation", None, None, None, bytes(block))
