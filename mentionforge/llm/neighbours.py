@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import keep, small_batches, table, work_folder
 from .vectors import by_width, dense, matrix
 
-TABLES, BLOCK = 14, 4096
+TABLES, BLOCK = 14, 16384
+#: Runs that the cells of a table are cut into; a block is of one run.
+RUNS = 16
 #: Share of the cells that a query probes where the base has SIZE rows; it falls with the power FALL of the rows.
 SHARE, SIZE, FALL = 0.05, 2000, 0.3
 #: Cells looked at, at most, to choose a query's probes, and rows a cell, about, beyond which a polytope is added.
@@ -86,7 +88,7 @@ def shape_for(width: int, rows: int) -> Shape:
         n += 1
     cells = axes(n) ** n
     share = min(1.0, SHARE * (SIZE / max(rows, 1)) ** FALL)
-    return Shape(n, axes(n), min(max(1, round(share * cells)), _choices(n, axes(n)) ** n), max(1, min(cells, rows // BLOCK)))
+    return Shape(n, axes(n), min(max(1, round(share * cells)), _choices(n, axes(n)) ** n), min(cells, RUNS))
 
 
 def _choices(polytopes: int, axes: int) -> int:
@@ -179,8 +181,8 @@ def _cells(df: DataFrame, shapes: dict[int, Shape], asks: bool, tables: int, see
 def _products(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Inner products of the rows x[i] and y[j], each by the same summation wherever the pair stands."""
     out = np.empty(len(i))
-    for lo in range(0, len(i), 65536):
-        part = slice(lo, lo + 65536)
+    for lo in range(0, len(i), 4096):
+        part = slice(lo, lo + 4096)
         out[part] = (x[i[part]] * y[j[part]]).sum(1)
     return out
 
@@ -202,6 +204,15 @@ def _candidates(codes: pa.ListArray, base_codes: pa.ListArray) -> tuple[np.ndarr
     return np.repeat(query, per), j
 
 
+def _leading(i: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Rows that are among the k largest s of their i, ties with the k-th included. i is in order."""
+    order = np.argsort(-s)
+    order = order[np.argsort(i[order].astype(np.uint16 if len(i) and i[-1] < 1 << 16 else i.dtype), kind="stable")]
+    first = np.searchsorted(i, i)
+    nth = np.minimum(first + k, np.searchsorted(i, i, "right")) - 1
+    return order[s[order] >= s[order[nth]]]
+
+
 def _ranked(k: int):
     """The k best of a block's base vectors for each of its queries: those in its cells, or all where it has no codes."""
 
@@ -226,6 +237,8 @@ def _ranked(k: int):
                 own = ids[q][i] == ids[b][j]
                 i, j = i[~own], j[~own]
             s = _products(x, y, i, j)
+            rows = _leading(i, s, k)
+            i, j, s = i[rows], j[rows], s[rows]
             order = np.lexsort((ids[b][j], -s, i))
             i, j, s = i[order], j[order], s[order]
             ok = np.arange(len(i)) - np.searchsorted(i, i) < k
