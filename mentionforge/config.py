@@ -11,6 +11,7 @@ class Linking:
     threshold: float = 0.35
     max_chars: int | None = None
     dims: int = 256
+    encoder: str = "trigrams"
     use_cells: bool = False
     cells_above: int = 50_000
 
@@ -48,6 +49,12 @@ class Spectral:
     drop_diagonal: bool = True
     symmetrize: bool = True
     driver_limit: int = 3000
+    which: str = "LA"
+    tol: float = 1e-6
+    steps: int = 60
+    ncv: int | None = None
+    seed: int = 0
+    save_matrix: bool = False
 
 
 @dataclass(frozen=True)
@@ -89,4 +96,5 @@ class Pipeline:
     pairs: TopPairs = TopPairs(top_pp=500, top_other=50)
     scoring: Scoring = Scoring()
     labels: Labels = Labels(low=20.0, high=80.0)
+    strict: bool = False
     extra: dict = field(default_factory=dict)

@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_row_id(df: DataFrame, name: str = "id") -> DataFrame:
+def with_row_id(df: DataFrame, name: str = "id", folder: str | None = None) -> DataFrame:
     """Numbers 1..N in the order of the input's partitions, without gathering rows in one task.
 
-    One count per partition reaches the driver.
+    Counts and numbers come from two readings of the input. Where it may change between them (an order that isn't
+    stable, a source that grows), give a folder: the input is written there first, and its copy is numbered. One row a
+    partition is broadcast.
     """
     marked = df.withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    total, ways = 0, []
-    for p, n in sorted(marked.groupBy(part).count().collect()):
-        ways += [F.lit(p), F.lit(total)]
+    if folder is not None:
+        marked.write.mode("overwrite").parquet(folder)
+        marked = df.sparkSession.read.schema(marked.schema).parquet(folder)
+    marked = marked.withColumn("_p", F.shiftright("_m", 33))
+    total, first = 0, []
+    for p, n in sorted(marked.groupBy("_p").count().collect()):
+        first.append((p, total))
         total += n
-    first = F.element_at(F.create_map(*ways), part) if ways else F.lit(0)
-    return marked.withColumn(name, (first + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("_m")
+    offsets = df.sparkSession.createDataFrame(first, "_p long, _first long")
+    numbered = marked.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_first") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).cast("long"))
+    return numbered.select(*df.columns, name)
 
 
 def ranked_id(df: DataFrame, *order: Column | str, name: str = "id") -> DataFrame:

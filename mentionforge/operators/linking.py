@@ -7,11 +7,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Linking
 from ..functions.arrays import matrix
+from ..functions.columns import clean
+from ..shared import exists, files
+from ..sources import readers, writers
 
 Encoder = Callable[[list[str]], np.ndarray]
 BLOCK = 4096
@@ -59,6 +62,20 @@ def encoded(df: DataFrame, text: str, make: Callable[[], Encoder]) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def cached(terms: DataFrame, text: str, make: Callable[[], Encoder], name: str, folder: str) -> DataFrame:
+    """encoded(), kept in the folder under a key of the encoder's name and the texts: the same texts are encoded once.
+
+    The key is the number of texts and two sums of hashes over them, whatever their order.
+    """
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), text).cast("decimal(38,0)"))
+    n, one, two = terms.agg(F.count("*"), wide(1), wide(2)).first()
+    path = f"{folder}/{hashlib.sha256(f'{name}:{n}:{one}:{two}'.encode()).hexdigest()[:24]}"
+    # Spark's own mark of a finished write
+    if not exists(terms.sparkSession, f"{path}/_SUCCESS"):
+        encoded(terms, text, make).write.mode("overwrite").parquet(path)
+    return terms.sparkSession.read.parquet(path)
+
+
 def _nearest(k: int, digits: int):
     def run(key, t):
         t = t.combine_chunks()
@@ -81,33 +98,51 @@ def _nearest(k: int, digits: int):
     return run
 
 
+def _usable(df: DataFrame, name: str) -> DataFrame:
+    """(name, vector, width) of rows that have both; components that are null or not finite count as 0."""
+    return df.where(F.col(name).isNotNull() & (F.size("vector") > 0)).select(F.col(name).alias("name"), clean(F.col("vector")).alias("vector"), F.size("vector").alias("width"))
+
+
+def _best(q: DataFrame, d: DataFrame, key: list[str], k: int, digits: int) -> DataFrame:
+    """The k best terms of each query, from blocks of BLOCK rows, about, of each side of each key."""
+    many = lambda df, n: df.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    sizes = many(q, "nq").join(many(d, "nd"), key)
+    mine = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(sizes, key).select("name", "vector", F.lit(0).alias("side"), *key, mine("nq").alias("q"), every("nd").alias("d"))
+    d = d.join(sizes, key).select("name", "vector", F.lit(1).alias("side"), *key, every("nq").alias("q"), mine("nd").alias("d"))
+    found = q.unionByName(d).groupBy(*key, "q", "d").applyInArrow(_nearest(k, digits), "query string, term string, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "term")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def nearest_terms(queries: DataFrame, dictionary: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """(query, term, score, rank): exact inner-product search, query blocks against dictionary blocks.
 
-    queries: query, vector; dictionary: term, vector. Ties go to the smaller term.
+    queries: query, vector; dictionary: term, vector. Ties go to the smaller term. Rows without a name or vector take no
+    part, and vectors of another width than the query's are no candidates.
     """
-    nq, nd = (max(1, -(-df.count() // BLOCK)) for df in (queries, dictionary))
-    mine = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    q = queries.select(F.col("query").alias("name"), "vector", F.lit(0).alias("side"), mine("query", nq).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("d"))
-    d = dictionary.select(F.col("term").alias("name"), "vector", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"), mine("term", nd).alias("d"))
-    found = q.union(d).groupBy("q", "d").applyInArrow(_nearest(k, digits), "query string, term string, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "term")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _best(_usable(queries, "query"), _usable(dictionary, "term"), ["width"], k, digits)
 
 
 def cell_terms(queries: DataFrame, dictionary: DataFrame, k: int, cells: int | None = None, probes: int | None = None, seed: int = 5) -> DataFrame:
     """Approximate search: a k-means coarse quantiser, probed cells, exact ranking there.
 
-    Cells and probes follow the dictionary's size: min(4096, max(n / 50, 256)) and min(32, cells), or as given. Queries
-    for which the probed cells hold fewer than k terms are answered by exact search.
+    Cells and probes follow the dictionary's size: min(4096, max(n / 50, 256)) but no more than n, and min(32, cells), or
+    as given. Both sides of a cell are cut into blocks, so a hot cell spreads over tasks. Queries for which the probed
+    cells hold fewer than k terms are answered by exact search. All vectors have one width; rows without a name or
+    vector take no part, and an empty dictionary gives no rows.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = dictionary.count()
-    cells = cells or min(4096, max(n // 50, 256), max(1, n))
+    asked, terms = _usable(queries, "query"), _usable(dictionary, "term")
+    n = terms.count()
+    if not n:
+        return nearest_terms(queries, dictionary, k)
+    cells = cells or min(4096, max(n // 50, 256), n)
     probes = min(probes or 32, cells)
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="f").fit(dictionary.select(array_to_vector("vector").alias("f")))
+    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="f").fit(terms.select(array_to_vector("vector").alias("f")))
     centers = np.array(model.clusterCenters())
 
     def probe(width: int):
@@ -122,17 +157,12 @@ def cell_terms(queries: DataFrame, dictionary: DataFrame, k: int, cells: int | N
 
         return run
 
-    form = "name string, vector array<double>, cells array<int>"
-    q = queries.select(F.col("query").alias("name"), "vector").mapInArrow(probe(probes), form)
-    d = dictionary.select(F.col("term").alias("name"), "vector").mapInArrow(probe(1), form)
-    both = q.withColumn("side", F.lit(0)).union(d.withColumn("side", F.lit(1))).withColumn("cell", F.explode("cells")).drop("cells")
-    found = both.groupBy("cell").applyInArrow(_nearest(k, 9), "query string, term string, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "term")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    few = queries.join(best.groupBy("query").count(), "query", "left").where(F.coalesce("count", F.lit(0)) < min(k, n)).select("query", "vector")
+    placed = lambda df, width: df.select("name", "vector").mapInArrow(probe(width), "name string, vector array<double>, cells array<int>").select("name", "vector", F.explode("cells").alias("cell"))
+    best = _best(placed(asked, probes), placed(terms, 1), ["cell"], k, 9)
+    few = asked.join(best.groupBy(F.col("query").alias("name")).count(), "name", "left").where(F.coalesce("count", F.lit(0)) < min(k, n)).select(F.col("name").alias("query"), "vector")
     if few.isEmpty():
         return best
-    return best.join(few.select("query"), "query", "left_anti").union(nearest_terms(few, dictionary, k))
+    return best.join(few.select("query"), "query", "left_anti").select("query", "term", "score", "rank").union(nearest_terms(few, dictionary, k))
 
 
 def normal(text: Column) -> Column:
@@ -173,12 +203,30 @@ def back_to_mentions(mentions: DataFrame, text: str, found: DataFrame, dictionar
     return out.fillna({"umls_candidates": "[]", "umls_below_threshold_warning": False})
 
 
-def link(mentions: DataFrame, dictionary: DataFrame, text: str = "entity", cfg: Linking = Linking(), make: Callable[[], Encoder] | None = None) -> DataFrame:
-    """Every distinct text is encoded and searched once, and its result goes back to all its mentions."""
+def link(mentions: DataFrame, dictionary: DataFrame, text: str = "entity", cfg: Linking = Linking(), make: Callable[[], Encoder] | None = None, cache: str | None = None) -> DataFrame:
+    """Every distinct text is encoded and searched once, and its result goes back to all its mentions.
+
+    cache: a folder in which the dictionary's vectors are kept for later runs, under cfg.encoder and its texts.
+    """
     if text not in mentions.columns:
         raise KeyError(text)
     make = make or (lambda: ngram_encoder(cfg.dims, cfg.max_chars))
     distinct = mentions.select(normal(F.col(text)).alias("query")).where("query is not null").distinct()
-    queries, terms = encoded(distinct, "query", make), encoded(dictionary.select("term"), "term", make)
+    queries, own = encoded(distinct, "query", make), dictionary.select("term")
+    terms = cached(own, "term", make, f"{cfg.encoder}:{cfg.dims}:{cfg.max_chars}", cache) if cache else encoded(own, "term", make)
     search = cell_terms if cfg.use_cells and dictionary.count() > cfg.cells_above else nearest_terms
     return back_to_mentions(mentions, text, search(queries, terms, cfg.top_k), dictionary, cfg.threshold)
+
+
+def link_folder(spark: SparkSession, folder: str, out: str, dictionary: DataFrame, text: str = "entity", glob: str = "*.csv", cfg: Linking = Linking(), skip_existing: bool = False, cache: str | None = None) -> list[str]:
+    """Each table of a folder linked into a table of its own, NAME.normalized.csv; returns where.
+
+    With skip_existing, tables whose result is there are left alone. One job a file: files are few and large.
+    """
+    done = []
+    for name in files(spark, folder, glob):
+        target = f"{out.rstrip('/')}/{name.rsplit('.', 1)[0]}.normalized.csv"
+        if not (skip_existing and exists(spark, f"{target}/_SUCCESS")):
+            writers.delimited(link(readers.delimited(spark, f"{folder.rstrip('/')}/{name}"), dictionary, text, cfg, cache=cache), target)
+        done.append(target)
+    return done

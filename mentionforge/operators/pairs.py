@@ -56,18 +56,20 @@ def _block(k_search: int, limit_pp: int, limit_other: int, pp: str, digits: int)
 def top_pairs(vectors: DataFrame, cfg: TopPairs = TopPairs(), digits: int = 6) -> DataFrame:
     """a_cui, a_assertion_status, b_cui, b_assertion_status, cosine_similarity, config.
 
-    vectors: row_id, cui, status, embedding. A row never pairs with itself; both directions appear. Each query keeps its
+    vectors: row_id, cui, status, embedding. Rows without an id or vector take no part; components that are null or not
+    finite count as 0, and vectors of different widths don't pair. A row never pairs with itself; both directions appear. Each query keeps its
     k_search nearest of a status first, then each pair of statuses its limit; where k_search reaches the limit the first
     step changes nothing and blocks cut down to the limit at once. Blocks meet pairwise; no row is compared twice and no
     similarity leaves its block unless it may rank.
     """
-    rows = vectors.select("row_id", "cui", F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit(cfg.default_status)).alias("status"), unit(F.col("embedding")).alias("u"))
+    usable = vectors.where(F.col("row_id").isNotNull() & (F.size("embedding") > 0))
+    rows = usable.select("row_id", "cui", F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit(cfg.default_status)).alias("status"), unit(F.col("embedding")).alias("u"), F.size("embedding").alias("width"))
     n = max(1, -(-rows.count() // BLOCK))
     block = F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = rows.select("row_id", "status", "u", F.lit(0).alias("side"), block.alias("ba"), every.alias("bb"))
-    b = rows.select("row_id", "status", "u", F.lit(1).alias("side"), every.alias("ba"), block.alias("bb"))
-    found = a.union(b.select("row_id", "status", "u", "side", "ba", "bb")).groupBy("ba", "bb").applyInArrow(_block(cfg.k_search, cfg.top_pp, cfg.top_other, cfg.pp_label, digits), FOUND)
+    a = rows.select("row_id", "status", "u", "width", F.lit(0).alias("side"), block.alias("ba"), every.alias("bb"))
+    b = rows.select("row_id", "status", "u", "width", F.lit(1).alias("side"), every.alias("ba"), block.alias("bb"))
+    found = a.unionByName(b).groupBy("width", "ba", "bb").applyInArrow(_block(cfg.k_search, cfg.top_pp, cfg.top_other, cfg.pp_label, digits), FOUND)
     most = max(cfg.top_pp, cfg.top_other)
     if cfg.undirected:
         found = found.where((F.col("status_a") < F.col("status_b")) | ((F.col("status_a") == F.col("status_b")) & (F.col("ia") < F.col("ib"))))

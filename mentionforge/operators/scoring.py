@@ -7,19 +7,21 @@ import random
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Scoring
 from ..functions.columns import assertion, filled, stripped
-from ..functions.rows import require, require_unique
+from ..functions.rows import ranked_id, require, require_unique, with_row_id
 
 SIDES = [f"{s}_{c}" for s in "ab" for c in ("cui", "term", "semantic_type", "assertion_status")]
 ASSESSMENT = "relationship_score int, has_medical_relationship boolean, confidence double, rationale string, linking_conditions array<string>, assertion_adjustment string"
 # The adjustments an answer may name.
 ADJUSTMENTS = ["not_applicable", "downgraded_due_to_absence_or_negation", "downgraded_due_to_uncertainty", "conditional_on_presence", "conditional_on_current_use", "conditional_on_diagnosis_status"]
+# The form of an answer, its fields and their limits.
 ANSWER_FORM = {
     "type": "json_schema",
     "json_schema": {
@@ -45,13 +47,14 @@ GUIDE = "Rate how strongly two clinical concepts are related, from 0 (none) to 1
 def records(df: DataFrame, names: dict[str, str] | None = None, need_status: bool = True) -> DataFrame:
     """pair_id and the eight fields as stripped text, statuses in the prompt vocabulary.
 
-    names: our column to the input's. A blank id becomes p000001 and so on by row order (column row_id where given); a
-    blank concept code fails.
+    names: our column to the input's. A blank id becomes p000001 and so on by the row's number (column row_id where
+    given, else its place in the input); a blank concept code fails.
     """
     names = {c: (names or {}).get(c, c) for c in ("pair_id", *SIDES)}
     wanted = [c for c in SIDES if need_status or not c.endswith("assertion_status")]
     require(df, *(names[c] for c in wanted))
-    number = F.row_number().over(Window.orderBy("row_id")) if "row_id" in df.columns else F.monotonically_increasing_id() + 1
+    df = ranked_id(df, "row_id", name="_number") if "row_id" in df.columns else with_row_id(df, "_number")
+    number = F.col("_number")
     given = filled(F.col(names["pair_id"]).cast("string")) if names["pair_id"] in df.columns else F.lit(None).cast("string")
     get = lambda c: stripped(F.col(names[c]).cast("string")) if names[c] in df.columns else F.lit("")
     columns = [F.coalesce(given, F.format_string("p%06d", number)).alias("pair_id")]
@@ -113,6 +116,45 @@ def batch_results(pairs: DataFrame, outputs: DataFrame, errors: DataFrame) -> Da
     return df.select(*pairs.columns, *fields(x), "status", F.when(F.col("status") == "error", F.coalesce("failed", "inline")).otherwise("").alias("error_message"))
 
 
+class BatchClient(Protocol):
+    """What a batch service must offer; adapters of real services live with their credentials, outside this package."""
+
+    def upload(self, path: str) -> str: ...
+
+    def create(self, file_id: str, window: str) -> str: ...
+
+    def status(self, batch_id: str) -> str: ...
+
+    def outputs(self, batch_id: str) -> str | None:
+        """Where the answers are (custom_id, content, error as JSON lines), or None."""
+
+    def errors(self, batch_id: str) -> str | None: ...
+
+
+#: States in which a batch ends.
+ENDED = ("completed", "failed", "expired", "cancelled")
+
+
+def run_batch(pairs: DataFrame, client: BatchClient, folder: str, cfg: Scoring = Scoring(), window: str = "24h", pause: float = 10.0, wait=time.sleep) -> DataFrame:
+    """Requests written and handed over, the batch polled until it ends, and its files joined back to all pairs."""
+    spark, path = pairs.sparkSession, f"{folder}/requests"
+    batch_requests(pairs, cfg).select("value").write.mode("overwrite").text(path)
+    batch = client.create(client.upload(path), window)
+    while client.status(batch) not in ENDED:
+        wait(pause)
+    form = "custom_id string, content string, error string"
+
+    def read(place: str | None) -> DataFrame:
+        return spark.createDataFrame([], form) if place is None else spark.read.schema(form).json(place)
+
+    return by_id_text(batch_results(pairs, read(client.outputs(batch)), read(client.errors(batch))))
+
+
+def by_id_text(df: DataFrame) -> DataFrame:
+    """Rows by their id as text: 1, 10, 2."""
+    return df.orderBy(F.col("pair_id").cast("string"))
+
+
 class Retryable(Exception):
     """A call that may succeed when repeated."""
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Spectral
+from ..shared import work_folder
+from ..sources import writers
+from .eigen import block_krylov, chosen
 
 
 def prepared(m: DataFrame, cfg: Spectral = Spectral()) -> DataFrame:
@@ -22,51 +26,72 @@ def prepared(m: DataFrame, cfg: Spectral = Spectral()) -> DataFrame:
 
 def signed(vectors: np.ndarray) -> np.ndarray:
     """Columns with their largest component positive, so that results don't depend on the solver's sign."""
+    if not vectors.size:
+        return vectors
     top = np.abs(vectors).argmax(0)
     return vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
 
 
-def top_eigenpairs(m: DataFrame, n: int, k: int, driver_limit: int = 3000) -> tuple[np.ndarray, DataFrame | np.ndarray]:
-    """The k largest (algebraic) eigenvalues, descending, and their vectors.
+def checked(m: DataFrame, n: int) -> DataFrame:
+    """m, or an error where a cell lies outside the n x n square."""
+    low, high = m.agg(F.min(F.least("i", "j")), F.max(F.greatest("i", "j"))).first()
+    if low is not None and (low < 0 or high >= n):
+        raise ValueError(f"cells from {low} to {high} don't fit a square of {n}")
+    return m
+
+
+def dense(m: DataFrame, n: int) -> np.ndarray:
+    """The matrix in the driver, for n small enough (n squared doubles); cells arrive as Arrow columns."""
+    t = m.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("v").cast("double")).toArrow()
+    a = np.zeros((n, n))
+    np.add.at(a, (t.column(0).to_numpy(), t.column(1).to_numpy()), t.column(2).to_numpy())
+    return (a + a.T) / 2
 
-    Up to driver_limit rows the matrix is small (n squared doubles) and solved exactly; beyond, by the distributed
-    singular value decomposition of the matrix shifted by its largest absolute row sum, which makes it positive
-    semidefinite and keeps the order of its eigenvalues.
-    """
-    k = max(0, min(k, n - 1))
-    if n <= driver_limit:
-        a = np.zeros((n, n))
-        for i, j, v in m.select("i", "j", "v").collect():
-            a[i, j] += v
-        values, vectors = np.linalg.eigh((a + a.T) / 2)
-        order = np.argsort(-values, kind="stable")[:k]
-        return values[order], signed(vectors[:, order])
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
+def top_eigenpairs(m: DataFrame, n: int, k: int, cfg: Spectral = Spectral(), folder: str | None = None) -> tuple[np.ndarray, DataFrame]:
+    """The k wanted eigenvalues (cfg.which), descending, and their vectors as a table (idx, x array<double>).
+
+    Up to cfg.driver_limit rows the matrix is solved exactly in the driver; beyond, by block Krylov iteration over
+    written tables, whose cost a row doesn't grow. An empty matrix has no pairs.
+    """
     spark = m.sparkSession
-    shift = m.groupBy("i").agg(F.sum(F.abs("v")).alias("s")).agg(F.max("s")).first()[0] or 0.0
-    full = m.union(spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(float(shift)).alias("v"))).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    rows = full.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("x"))
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r.i, Vectors.sparse(n, [e.j for e in r.x], [e.v for e in r.x]))), n, n)
-    svd = matrix.computeSVD(k, True)
-    values = np.array(svd.s) - shift
-    vectors = signed(svd.V.toArray())
-    return values, vectors
+    k = max(0, min(k, n - 1))
+    m = checked(m, n)
+    if k and n > cfg.driver_limit:
+        return block_krylov(m, n, k, folder or work_folder(spark, "eigen"), cfg.which, cfg.tol, cfg.steps, cfg.ncv, cfg.seed)
+    values, vectors = np.linalg.eigh(dense(m, n)) if k else (np.empty(0), np.empty((n, 0)))
+    order = chosen(values, k, cfg.which)
+    table = pa.table({"idx": np.arange(n), "x": pa.array(list(signed(vectors[:, order])), pa.list_(pa.float64()))})
+    return values[order], spark.createDataFrame(table)
 
 
-def scaled(values: np.ndarray, vectors: np.ndarray, method: str = "sqrt_evals") -> np.ndarray:
+def scaled(values: np.ndarray, vectors: DataFrame, method: str = "sqrt_evals") -> DataFrame:
+    """(idx, embedding): the vectors, or each times the root of its value (none below zero)."""
     if method == "evecs":
-        return vectors
+        return vectors.select("idx", F.col("x").alias("embedding"))
     if method != "sqrt_evals":
         raise ValueError(f"unknown embedding method {method}")
-    return vectors * np.sqrt(np.maximum(values, 0))
+    roots = F.array(*(F.lit(float(v)) for v in np.sqrt(np.maximum(values, 0)))) if len(values) else F.expr("cast(array() as array<double>)")
+    return vectors.select("idx", F.zip_with("x", roots, lambda a, b: a * b).alias("embedding"))
+
 
+def embeddings(m: DataFrame, vocab: DataFrame, cfg: Spectral = Spectral(), folder: str | None = None) -> DataFrame:
+    """vocab with an embedding of each token, joined by index; an error where not every token gets one.
 
-def embeddings(m: DataFrame, vocab: DataFrame, cfg: Spectral = Spectral()) -> DataFrame:
-    """vocab with an embedding of each token, joined by index."""
+    With a folder, the processed matrix (if cfg.save_matrix), the eigenvalues and the facts of the run are written there.
+    """
     n = vocab.count()
-    values, vectors = top_eigenpairs(prepared(m, cfg), n, cfg.k, cfg.driver_limit)
-    own = scaled(values, vectors, cfg.method)
-    rows = m.sparkSession.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(own)], "idx long, embedding array<double>")
-    return vocab.join(rows, "idx")
+    own = prepared(m, cfg)
+    values, vectors = top_eigenpairs(own, n, cfg.k, cfg, f"{folder}/eigen" if folder else None)
+    if folder:
+        if cfg.save_matrix:
+            writers.matrix(own, f"{folder}/processed")
+        spark = m.sparkSession
+        spark.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "rank int, eigenvalue double").write.mode("overwrite").parquet(f"{folder}/eigenvalues")
+        facts = {"n": n, "k": len(values), "which": cfg.which, "method": cfg.method, "threshold": cfg.threshold, "drop_diagonal": cfg.drop_diagonal, "symmetrize": cfg.symmetrize, "tol": cfg.tol, "seed": cfg.seed}
+        writers.meta(spark, facts, f"{folder}/meta")
+    out = vocab.join(scaled(values, vectors, cfg.method), "idx")
+    got = vocab.select("idx").join(vectors.select("idx"), "idx").count()
+    if got != n:
+        raise ValueError(f"{got} of {n} tokens have a vector")
+    return out

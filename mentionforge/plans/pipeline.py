@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import resource
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,23 +12,32 @@ from pyspark.sql import functions as F
 
 from ..config import Pipeline
 from ..operators import align, cooccurrence, discretize, enrich, flatten, labels, linking, pairs, scoring, spectral
+from ..sources import writers
 
 
 @dataclass
 class Run:
-    """One run: its folder, its settings, and the seconds of each written stage."""
+    """One run: its folder, its settings, and what each written stage took (seconds, driver's CPU seconds and memory)."""
 
     spark: SparkSession
     folder: str
     cfg: Pipeline = Pipeline()
     seconds: dict[str, float] = field(default_factory=dict)
+    resources: list[dict] = field(default_factory=list)
 
     def written(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        start = time.time()
+        """The stage's rows, written and read back; in strict runs an error where there are none."""
+        start, cpu = time.time(), time.process_time()
         df = make()
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         self.seconds[name] = time.time() - start
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+        self.resources.append({"stage": name, "wall_s": self.seconds[name], "driver_cpu_s": time.process_time() - cpu, "driver_max_rss_kb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss})
+        out = self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+        return cooccurrence.checked(out, name) if self.cfg.strict else out
+
+    def report(self) -> DataFrame:
+        """A row a written stage."""
+        return self.spark.createDataFrame(self.resources, "stage string, wall_s double, driver_cpu_s double, driver_max_rss_kb long")
 
 
 def from_lines(run: Run, lines: DataFrame, dictionary_lines: DataFrame) -> DataFrame:
@@ -45,10 +55,11 @@ def from_mentions(run: Run, aligned: DataFrame, book: DataFrame) -> DataFrame:
     kept = discretize.supported(discretize.mapped(aligned), cfg.support.min_rows)
     own = run.written("tokens", lambda: cooccurrence.tokens(kept, cfg.cooccurrence))
     vocab = run.written("vocabulary", lambda: cooccurrence.vocabulary(own, cfg.cooccurrence))
+    writers.vocabulary(vocab, f"{run.folder}/matrix")
     counted = run.written("pair_counts", lambda: cooccurrence.pair_counts(own, vocab, cfg.cooccurrence))
     upper = cooccurrence.ppmi(counted, cfg.cooccurrence.shift_k)
     matrix = run.written("matrix", lambda: cooccurrence.symmetric(upper, "v"))
-    vectors = run.written("embeddings", lambda: spectral.embeddings(matrix, vocab, cfg.spectral))
+    vectors = run.written("embeddings", lambda: spectral.embeddings(matrix, vocab, cfg.spectral, f"{run.folder}/spectral"))
     best = run.written("pairs", lambda: pairs.top_pairs(vectors.withColumnRenamed("idx", "row_id"), cfg.pairs))
     # scorer calls cost money and may differ between calls: written once, before anything reads them
     scored = run.written("scored", lambda: scoring.scored(scoring.records(enrich.enriched(best, book)), cfg=cfg.scoring))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import Cooccurrence, Labels, Spectral, TopPairs
 from ..functions import columns as C
-from ..functions.rows import ranked_id
+from ..functions.rows import with_row_id
 from ..operators import align, cooccurrence, discretize, enrich, flatten, labels, linking, pairs, scoring, spectral
+from ..shared import work_folder
+from ..sources import readers, writers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -133,10 +135,60 @@ def reject_malformed_json(spark, sf_dir):
     return flatten.bad_records(jsonl(spark, sf_dir))
 
 
-@query("SELECT 'k' AS name, count(*) AS n FROM events WHERE props IS NOT NULL")
+@query("SELECT DISTINCT unnest(json_keys(props)) AS name FROM events")
 def schema_key_union(spark, sf_dir):
-    keys = F.map_keys(F.from_json("props", "map<string,string>"))
-    return table(spark, sf_dir, "events").select(F.explode(keys).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    names = flatten.discovered(table(spark, sf_dir, "events").select(F.from_json("props", "map<string,string>").alias("extras")))
+    return spark.createDataFrame([(x,) for x in names], "name string")
+
+
+PARENT = """lines AS (SELECT event_id, '{"key":"1-2-3","response":"[{' || CASE event_id % 3 WHEN 0 THEN '\\"key\\":\\"' || user_id || '-8-7\\",' WHEN 1 THEN '\\"key\\":null,' ELSE '' END || '\\"phrase\\":\\"x\\"}]"}' AS value FROM events)"""
+
+
+@query(f"WITH {PARENT}, r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN json_extract_string(json_extract_string(value, '$.response'), '$[0].key') WHEN 2 THEN json_extract_string(value, '$.key') END AS key FROM lines) SELECT event_id, key, split_part(key, '-', 1) AS patient_id, split_part(key, '-', 3) AS message_id FROM r")
+def item_over_parent(spark, sf_dir):
+    own = F.concat(F.lit('\\"key\\":\\"'), "user_id", F.lit('-8-7\\",'))
+    inner = F.when(F.col("event_id") % 3 == 0, own).when(F.col("event_id") % 3 == 1, '\\"key\\":null,').otherwise("")
+    value = F.concat(F.lit('{"key":"1-2-3","response":"[{'), inner, F.lit('\\"phrase\\":\\"x\\"}]"}'))
+    lines = table(spark, sf_dir, "events").select("event_id", value.alias("value"))
+    return flatten.mentions(lines).select("event_id", "key", "patient_id", "message_id")
+
+
+TYPED = "typed AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS line_no, CASE WHEN p_partkey % 10 = 0 THEN '  ' WHEN p_partkey % 9 = 0 THEN p_name || '||' || p_type ELSE p_brand || '||' || p_type || '||' || p_name END AS value FROM part)"
+
+
+def _typed(spark, sf_dir) -> str:
+    """A file of dictionary lines, some blank or malformed, in the order of the part table."""
+    parts = table(spark, sf_dir, "part").orderBy("p_partkey")
+    good = F.concat_ws("||", "p_brand", "p_type", "p_name")
+    path = work_folder(spark, "lines")
+    parts.coalesce(1).select(F.when(F.col("p_partkey") % 10 == 0, "  ").when(F.col("p_partkey") % 9 == 0, F.concat_ws("||", "p_name", "p_type")).otherwise(good).alias("value")).write.text(path)
+    return path
+
+
+@query(f"WITH {TYPED} SELECT value, line_no FROM typed WHERE trim(value) <> ''")
+def line_scan(spark, sf_dir):
+    return readers.lines(spark, _typed(spark, sf_dir)).select("value", "line_no")
+
+
+@query(f"WITH {TYPED} SELECT string_split(value, '||')[2] AS term, arg_max(string_split(value, '||')[1], line_no) AS cui, arg_max(string_split(value, '||')[3], line_no) AS semantic_type FROM typed WHERE len(string_split(value, '||')) = 3 GROUP BY 1")
+def dictionary_load(spark, sf_dir):
+    return linking.last_wins(readers.dictionary_lines(spark, _typed(spark, sf_dir)))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name || ', \"x\" ' || chr(10) || 'y' AS name, CASE WHEN s_suppkey % 7 > 0 THEN CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier")
+def csv_round_trip(spark, sf_dir):
+    path, s = f"{work_folder(spark, 'csv')}/t.tsv", table(spark, sf_dir, "supplier")
+    df = s.select("s_suppkey", F.concat("s_name", F.lit(', "x" \ny')).alias("name"), F.when(F.col("s_suppkey") % 7 > 0, F.col("s_nationkey")).alias("nation"))
+    writers.delimited(df, path, readers.separator(path), blank=("nation",))
+    return readers.delimited(spark, path)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ' é' AS name FROM customer")
+def encoding_fallback(spark, sf_dir):
+    path = f"{work_folder(spark, 'latin')}/t.csv"
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(" é")).alias("name"))
+    df.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return readers.delimited(spark, path)
 
 
 KEYS = "keys AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey || '-' || o_orderkey WHEN 1 THEN o_custkey || '--' || o_orderkey WHEN 2 THEN o_custkey || '-' || o_orderkey || '-1-2' ELSE o_custkey || '-' || o_orderkey || '-7' END AS key FROM orders)"
@@ -168,7 +220,7 @@ def note_text(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY p_partkey) AS id, p_partkey, p_name FROM part")
 def row_ids(spark, sf_dir):
-    return ranked_id(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    return with_row_id(table(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy("p_partkey"), folder=work_folder(spark, "rows"))
 
 
 # Stage N
@@ -181,10 +233,25 @@ def dictionary_last_wins(spark, sf_dir):
 
 @query(f"WITH {ENTITIES}, {LAST} SELECT entity, cui, count(*) AS n FROM entities LEFT JOIN last ON nullif(lower(trim(entity)), '') = lower(term) GROUP BY ALL")
 def mention_dedup_backfill(spark, sf_dir):
-    own = entities(spark, sf_dir).withColumn("_n", linking.normal(F.col("entity")))
-    terms = linking.last_wins(dictionary(spark, sf_dir)).select(F.lower("term").alias("t"), "cui")
-    found = own.select(F.col("_n").alias("q")).where("q is not null").distinct().join(terms, F.col("q") == F.col("t"), "left").select("q", "cui")
-    return own.join(found, F.col("_n") == F.col("q"), "left").groupBy("entity", "cui").agg(F.count("*").alias("n"))
+    found = linking.link(entities(spark, sf_dir), linking.last_wins(dictionary(spark, sf_dir)))
+    return found.groupBy("entity", F.col("umls_top_cui").alias("cui")).agg(F.count("*").alias("n"))
+
+
+PLACES = "places AS (SELECT 'N' || n_nationkey AS cui, n_name AS term FROM nation UNION ALL SELECT 'R' || r_regionkey, r_name FROM region)"
+
+
+@query(f"WITH {PLACES}, t AS (SELECT 'nation' AS file, n_name AS entity FROM nation UNION ALL SELECT 'region', lower(r_name) FROM region) SELECT file, entity, cui AS umls_top_cui, '1.0' AS umls_top_confidence FROM t JOIN places ON lower(term) = lower(entity)")
+def link_folder_files(spark, sf_dir):
+    folder, n, r = work_folder(spark, "tables"), table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    writers.delimited(n.select(F.col("n_name").alias("entity")), f"{folder}/in/nation.csv")
+    writers.delimited(r.select(F.lower("r_name").alias("entity")), f"{folder}/in/region.csv")
+    terms = n.select("n_nationkey", "n_name", F.lit("N")).union(r.select("r_regionkey", "r_name", F.lit("R"))).toDF("no", "term", "kind")
+    terms = terms.select("term", F.concat("kind", "no").alias("cui"), F.col("kind").alias("semantic_type"))
+    done = linking.link_folder(spark, f"{folder}/in", f"{folder}/out", terms, cache=f"{folder}/cache")
+    # once more, with all results there already
+    assert done == linking.link_folder(spark, f"{folder}/in", f"{folder}/out", terms, skip_existing=True)
+    each = [readers.delimited(spark, p).select(F.lit(p.split("/")[-1].split(".")[0]).alias("file"), "entity", "umls_top_cui", F.round(F.col("umls_top_confidence").cast("double"), 6).cast("string").alias("umls_top_confidence")) for p in done]
+    return each[0].union(each[1])
 
 
 LINKED = f"""WITH {VECTORS}, s AS (SELECT q.cui AS query, d.cui AS term, round(list_dot_product(q.u, d.u), 6) AS score FROM units q JOIN units d ON q.row_id % 2 = 1 AND d.row_id % 2 = 0),
@@ -391,7 +458,7 @@ def _matrix(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query()
 def eig_topk(spark, sf_dir):
     m, vocab = _matrix(spark, sf_dir)
-    values, _ = spectral.top_eigenpairs(spectral.prepared(m), vocab.count(), Spectral().k)
+    values, _ = spectral.top_eigenpairs(spectral.prepared(m), vocab.count(), Spectral().k, folder=work_folder(spark, "eigen"))
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "rank int, eigenvalue double")
 
 
@@ -528,11 +595,66 @@ def result_precedence(spark, sf_dir):
     return scoring.batch_results(own.select(F.col("id").alias("pair_id")), outputs, errors).select("pair_id", "status")
 
 
-@query()
+SIDE_SQL = ", ".join(f"{x}_cui, coalesce({x}_term, '') AS {x}_term, coalesce({x}_semantic_type, '') AS {x}_semantic_type, {LOW.format(x + '_assertion_status')} AS {x}_assertion_status" for x in "ab")
+RULED = f"""{ENRICHED}, sides AS (SELECT CAST(pair_id AS VARCHAR) AS pair_id, {SIDE_SQL} FROM full_e),
+words AS (SELECT *, list_distinct(regexp_extract_all(lower(a_term), '\\S+')) AS wa, list_distinct(regexp_extract_all(lower(b_term), '\\S+')) AS wb, a_assertion_status = 'absent' OR b_assertion_status = 'absent' AS denied FROM sides),
+based AS (SELECT *, list_sort(list_intersect(wa, wb)) AS shared, 20 + 60 * len(list_intersect(wa, wb)) // greatest(1, len(list_distinct(list_concat(wa, wb)))) + CASE WHEN a_semantic_type = b_semantic_type THEN 20 ELSE 0 END AS base FROM words),
+ruled AS (SELECT *, CASE WHEN denied THEN base // 2 ELSE base END AS score, CASE WHEN denied THEN 'downgraded_due_to_absence_or_negation' ELSE 'not_applicable' END AS adjust FROM based),
+answers AS (SELECT *, '{{"relationship_score": ' || score || ', "has_medical_relationship": ' || CASE WHEN score >= 50 THEN 'true' ELSE 'false' END || ', "confidence": 0.5, "rationale": "shared words and types", "linking_conditions": [' || array_to_string(list_transform(shared[1:5], lambda w: '"' || w || '"'), ', ') || '], "assertion_adjustment": "' || adjust || '"}}' AS response_json FROM ruled)"""
+
+
+@query(f"""{RULED} SELECT pair_id, a_cui, a_term, a_semantic_type, a_assertion_status, b_cui, b_term, b_semantic_type, b_assertion_status, CAST(score AS VARCHAR) AS relationship_score, CASE WHEN score >= 50 THEN 'true' ELSE 'false' END AS has_medical_relationship,
+ '0.5' AS confidence, adjust AS assertion_adjustment, 'shared words and types' AS rationale, array_to_string(shared[1:5], ';') AS linking_conditions, 'ok' AS status, '' AS error_type, '' AS error_message, response_json FROM answers""")
 def score_pairs_offline(spark, sf_dir):
     return scoring.scored(_records(spark, sf_dir)).drop("request_json")
 
 
+@query(f"{RULED} SELECT pair_id, response_json AS response_raw FROM answers")
+def audit_lines(spark, sf_dir):
+    v = F.parse_json("value")
+    return scoring.audit(scoring.scored(_records(spark, sf_dir))).select(F.variant_get(v, "$.pair_id", "string").alias("pair_id"), F.variant_get(v, "$.response_raw", "string").alias("response_raw"))
+
+
+@query(f"{ENRICHED} SELECT CASE WHEN pair_id % 3 = 0 THEN 'p' || lpad(CAST(pair_id AS VARCHAR), 6, '0') ELSE CAST(pair_id AS VARCHAR) END AS pair_id, a_cui, b_cui FROM full_e")
+def record_ids(spark, sf_dir):
+    rows = enrich.enriched(_brands(spark, sf_dir), _book(spark, sf_dir)).orderBy("pair_id")
+    return scoring.records(rows.withColumn("pair_id", F.when(F.col("pair_id") % 3 > 0, F.col("pair_id")))).select("pair_id", "a_cui", "b_cui")
+
+
+class _Service:
+    """A batch service that needs three looks, answers even ids, fails those of ten and misses the other odd ones."""
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder, self.looks = spark, folder, 0
+
+    def upload(self, path: str) -> str:
+        ids = self.spark.read.text(path).select(F.variant_get(F.parse_json("value"), "$.custom_id", "string").alias("custom_id")).withColumn("n", F.col("custom_id").cast("int"))
+        writers.json_lines(ids.where("n % 2 = 0").select("custom_id", F.lit('{"relationship_score": 7}').alias("content")), f"{self.folder}/outputs")
+        writers.json_lines(ids.where("n % 10 = 0").select("custom_id", F.lit("refused").alias("error")), f"{self.folder}/errors")
+        return path
+
+    def create(self, file_id: str, window: str) -> str:
+        return "batch"
+
+    def status(self, batch_id: str) -> str:
+        self.looks += 1
+        return "completed" if self.looks > 2 else "in_progress"
+
+    def outputs(self, batch_id: str) -> str:
+        return f"{self.folder}/outputs"
+
+    def errors(self, batch_id: str) -> str:
+        return f"{self.folder}/errors"
+
+
+@query(f"""{ENRICHED}, s AS (SELECT CAST(pair_id AS VARCHAR) AS pair_id, CASE WHEN pair_id % 10 = 0 THEN 'error' WHEN pair_id % 2 = 1 THEN 'missing' ELSE 'ok' END AS status FROM full_e)
+SELECT row_number() OVER (ORDER BY pair_id) AS place, pair_id, status, CASE WHEN status = 'ok' THEN '7' ELSE '' END AS relationship_score, CASE WHEN status = 'error' THEN 'refused' ELSE '' END AS error_message FROM s""")
+def batch_run(spark, sf_dir):
+    folder = work_folder(spark, "batch")
+    out = scoring.run_batch(_records(spark, sf_dir), _Service(spark, folder), folder, wait=lambda s: None)
+    return with_row_id(out.select("pair_id", "status", "relationship_score", "error_message"), "place")
+
+
 # Stage J
 
 NUM = "TRY_CAST(relationship_score AS DOUBLE)"
@@ -581,14 +703,54 @@ def telemetry_summary(spark, sf_dir):
 
 @query()
 def pipeline_end_to_end(spark, sf_dir):
-    import tempfile
-    import uuid
-
     from ..config import Pipeline
     from .pipeline import Run, from_mentions
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
-    run = Run(spark, f"{base}/run-{uuid.uuid4().hex}", Pipeline())
+    run = Run(spark, work_folder(spark), Pipeline(strict=True))
     own = mentions(spark, sf_dir).withColumns({"semantic_type": F.lit("t"), "value": F.lit(None).cast("string"), "unit": F.lit(None).cast("string")})
     book = dictionary(spark, sf_dir).select("cui", "term", "semantic_type")
     return from_mentions(run, own, book)
+
+
+# Files of the stages, written and read back
+
+
+@query(f"WITH {MAPPED} SELECT s AS status, count(DISTINCT (patient_id, umls_top_cui)) AS n FROM mapped WHERE s IN ('ABSENT', 'HISTORY') AND umls_top_cui IS NOT NULL AND patient_id IS NOT NULL GROUP BY s")
+def status_filter_parse(spark, sf_dir):
+    cfg = Cooccurrence(statuses=Cooccurrence.parse_statuses(" absent ,History,"))
+    return cooccurrence.tokens(statuses(spark, sf_dir), cfg).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MAPPED} SELECT umls_top_cui AS cui, count(DISTINCT patient_id) AS patients FROM mapped WHERE s = 'PRESENT' AND umls_top_cui IS NOT NULL AND patient_id IS NOT NULL GROUP BY 1")
+def present_only(spark, sf_dir):
+    return cooccurrence.tokens(statuses(spark, sf_dir), Cooccurrence(present_only=True, statuses=("ABSENT",))).groupBy("cui").agg(F.count("*").alias("patients"))
+
+
+@query(f"WITH {_tokens_sql()}, {_vocab_sql()} SELECT CAST(idx AS VARCHAR) AS idx, token, cui, status, CAST(patient_count AS VARCHAR) AS patient_count FROM vocab")
+def vocab_sink(spark, sf_dir):
+    return readers.delimited(spark, writers.vocabulary(_counted(spark, sf_dir)[1], f"{work_folder(spark, 'vocab')}/m"))
+
+
+@query(f"{MATRIX} SELECT i, j, round(v, 6) AS v FROM upper_m")
+def matrix_sink(spark, sf_dir):
+    path = f"{work_folder(spark, 'matrix')}/m"
+    writers.matrix(_upper(spark, sf_dir), path)
+    return spark.read.parquet(path).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query("SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def embedding_columns(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = f"{work_folder(spark, 'wide')}/e"
+    writers.wide(e, "embedding", e.agg(F.max(F.size("embedding"))).first()[0]).write.parquet(path)
+    back = writers.gathered(spark.read.parquet(path))
+    return back.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), "x")
+
+
+@query(f"WITH {SIMS}, {RANKED.format('sims')}, top AS ({TOP.format(100, 10)}) SELECT row_number() OVER (ORDER BY a_assertion_status, b_assertion_status, cosine_similarity DESC, a_cui, b_cui) + 1 AS line_no, a_cui, b_cui, config FROM top")
+def pairs_file_order(spark, sf_dir):
+    path = f"{work_folder(spark, 'pairs')}/p.csv"
+    # one file: the result of a top-k, whose size is set by its limits
+    writers.delimited(pairs.sorted_pairs(pairs.top_pairs(vectors(spark, sf_dir), TopPairs())).coalesce(1), path)
+    part = F.split("value", ",")
+    return readers.lines(spark, path).where("line_no > 1").select("line_no", part[0].alias("a_cui"), part[2].alias("b_cui"), part[5].alias("config"))

@@ -22,6 +22,12 @@ def matrix(df: DataFrame, path: str) -> None:
     df.select("i", "j", "v").write.mode("overwrite").parquet(path)
 
 
+def vocabulary(df: DataFrame, path: str) -> str:
+    """The vocabulary of a matrix, tokens without pairs too, beside it; returns where."""
+    delimited(df.select("idx", "token", "cui", "status", "patient_count"), f"{path}.vocab.csv")
+    return f"{path}.vocab.csv"
+
+
 def meta(spark, facts: dict, path: str) -> None:
     import json
 

@@ -79,9 +79,9 @@ def test_spectral(spark, limit):
     toks = cooccurrence.tokens(_patients(spark))
     vocab = cooccurrence.vocabulary(toks)
     m = cooccurrence.symmetric(cooccurrence.ppmi(cooccurrence.pair_counts(toks, vocab)), "v")
-    values, vectors = spectral.top_eigenpairs(spectral.prepared(m), 4, 2, limit)
+    values, vectors = spectral.top_eigenpairs(spectral.prepared(m), 4, 2, Spectral(driver_limit=limit))
     assert np.allclose(values, [1.440848, 0.943693], atol=1e-5)
-    e = spectral.scaled(values, vectors)
+    e = np.array([r.embedding for r in spectral.scaled(values, vectors).orderBy("idx").collect()])
     assert np.allclose((e @ e.T)[0], [0.504186, 0.490415, 0.143841, 0.083624], atol=1e-5)
 
 
