@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+
 #: Texts handed to Python at a time; bounds a worker's memory whatever the length of the documents.
 ARROW_ROWS = 1000
 ARROW_BYTES = 8 << 20
@@ -27,15 +27,11 @@ def small_batches(spark: SparkSession) -> None:
 def work_folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent, as in tests on one machine, a temporary folder takes its place.
+    Where the setting is absent a cluster is refused; on one machine, as in tests, a temporary folder takes its place.
     """
     # every operator hands results on as written tables, so shuffle files need not outlive the job that made them
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="mentionforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/mentionforge-{uuid.uuid4().hex}"
+    return shared.work_folder(spark, "corpus")
 
 
 def keep(df: DataFrame, folder: str, name: str, mode: str = "overwrite") -> DataFrame:

@@ -236,3 +236,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 1e-5
 
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE u AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  AND CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) >= 0.93 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) END),
+reach(v, m) AS (SELECT vec_id, vec_id FROM u UNION SELECT l.a, reach.m FROM reach JOIN l ON l.b = reach.v),
+least AS (SELECT v, min(m) AS m FROM reach GROUP BY v), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN least ON v = vec_id LEFT JOIN n ON a = vec_id"""

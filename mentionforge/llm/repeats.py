@@ -280,3 +280,16 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS x FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+j AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM f),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM j),
+r AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY doc_id, g),
+t AS (SELECT doc_id, list(lo ORDER BY lo) AS lo, list(hi ORDER BY lo) AS hi, sum(hi - lo) AS n_removed FROM r GROUP BY doc_id),
+k AS (SELECT d.doc_id, h, n, coalesce(n_removed, 0)::BIGINT AS n_removed, list_concat([0::BIGINT], coalesce(hi, [])) AS a, list_concat(coalesce(lo, []), [n]) AS b FROM d LEFT JOIN t USING (doc_id))
+SELECT doc_id, n AS n_bytes, n_removed, len(a)::BIGINT - 1 AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(a) + 1), lambda x: substring(h, 2 * a[x] + 1, 2 * (b[x] - a[x]))), ''))) AS kept_sha256 FROM k"""

@@ -32,7 +32,7 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{14,}", "AKIA", None),
     ("hex", r"[0-9a-f]{16,}", None, None),
     # with its body: up to the END line or, without one, the lines of base64
-    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[ \t\r\n]*[A-Za-z0-9+/=]{16,}){0,400})", "PRIVATE KEY-----", None),
+    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[ \t\r\n]*[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/=\r\n]*)?)", "PRIVATE KEY-----", None),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", "gh", None),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", "xox", None),
     ("google", r"AIza[0-9A-Za-z_-]{35}", "AIza", None),
