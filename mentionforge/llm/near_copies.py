@@ -9,8 +9,9 @@
    link that banding finds between different components is lost.
 3. A candidate's signatures are compared batch by batch. After each batch the posterior of its similarity (Beta prior,
    binomial matches) is held against the threshold; a pair whose chance of reaching it is below `miss` leaves.
-4. Survivors are verified on their full sets. A shingle is held as a 128-bit fingerprint whose steps are not linear, so
-   that m shingles hold two equal by accident with a chance of m*m/2^129.
+4. Survivors are verified on their full sets. A shingle is held as a 64-bit fingerprint whose steps are not linear: two
+   sets of m shingles have one in common by accident with a chance of m*m/2^64, and such a one moves their similarity by
+   1/m. What makes sets equal at once is a digest over 128-bit fingerprints.
 
 Rows: null and blank texts have no shingles, n_shingles 0, link with nothing and are their own component (kept). Rows
 of equal doc_id count as one document only where their sets are equal; a null doc_id forms components as any other row
@@ -55,7 +56,7 @@ def least_matches(threshold: float, miss: float, total: int = BANDS * ROWS, batc
 
 
 def sets(docs: DataFrame, doc_id: str, text: str, width: int, with_sets: bool, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, extra columns, n (set size), key (16 bytes of the set), and signature or the set itself (16 bytes a shingle)."""
+    """doc_id, extra columns, n (set size), key (16 bytes of the set), and signature or the set itself (8 bytes a shingle)."""
     small_batches(docs.sparkSession)
     what = "shingles" if with_sets else "signature"
     fields = docs.schema
@@ -65,8 +66,8 @@ def sets(docs: DataFrame, doc_id: str, text: str, width: int, with_sets: bool, e
         for batch, data, offs in K.slices(batches, text):
             values, more, at = K.shingles(data, offs, width)
             hi, lo = values.astype("<u8").tobytes(), more.astype("<u8").tobytes()
-            own = [hi[8 * a : 8 * b] + lo[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])]
-            keys = [hashlib.blake2b(x, digest_size=16).digest() for x in own]
+            own = [hi[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])]
+            keys = [hashlib.blake2b(x + lo[8 * a : 8 * b], digest_size=16).digest() for x, a, b in zip(own, at[:-1], at[1:])]
             if not with_sets:
                 own = [x.tobytes() for x in K.min_hashes(values, at, BANDS * ROWS)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (doc_id, *extra)), pa.array(np.diff(at)), K.binary_column(keys), K.binary_column(own)], names=[doc_id, *extra, "n", "key", what])
@@ -135,16 +136,12 @@ def _exact(pairs: DataFrame, sizes: DataFrame, store: DataFrame, percent: int) -
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sets, each its first halves in order and then its second halves, have the similarity."""
-    m, n = len(x) // 2, len(y) // 2
-    if 100 * min(m, n) < percent * max(m, n):
+    """Whether two sorted sets have the similarity."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
-    if (x[1:m] == x[: m - 1]).any():
-        same = len(set(zip(x[:m].tolist(), x[m:].tolist())) & set(zip(y[:n].tolist(), y[n:].tolist())))
-    else:
-        at = np.minimum(np.searchsorted(x[:m], y[:n]), m - 1)
-        same = int(((x[at] == y[:n]) & (x[m + at] == y[n:])).sum())
-    return 100 * same >= percent * (m + n - same)
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    same = int((x[at] == y).sum())
+    return 100 * same >= percent * (len(x) + len(y) - same)
 
 
 def _blocks(members: DataFrame, with_sets: bool, folder: str, name: str) -> DataFrame:
@@ -152,7 +149,7 @@ def _blocks(members: DataFrame, with_sets: bool, folder: str, name: str) -> Data
     buckets together. A block holds two chunks at most."""
     total = members.count()
     chunks = F.ceil(F.count("*") / CHUNK)
-    chunks = F.greatest(chunks, F.ceil(F.sum("n") * 16 / CHUNK_BYTES)) if with_sets else chunks
+    chunks = F.greatest(chunks, F.ceil(F.sum("n") * 8 / CHUNK_BYTES)) if with_sets else chunks
     sizes = keep(members.groupBy("bucket").agg(chunks.cast("int").alias("chunks"), F.count("*").alias("size")), folder, name)
     placed = spread_join(members, sizes, ["bucket"], "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -251,7 +248,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     classes = keep(first.select(F.monotonically_increasing_id().alias("node"), "key", "size", "x.doc_id", "x.n", "x.signature"), folder, "classes")
 
     # buckets of two classes or more, each with a leader
-    bands = keep(_bands(classes), folder, "bands")
+    bands = _bands(classes)
     heads = keep(bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1"), folder, "heads")
     buckets = keep(spread_join(bands, heads, ["bucket"], "node"), folder, "buckets")
 
