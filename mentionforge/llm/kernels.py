@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Words and lines up to this many bytes are hashed in lanes of 8 bytes, longer ones by a digest each.
 LANES = 64
+#: Places of a text that are fingerprinted at a time.
+PLACES = 1 << 14
 _SEEDS = (0x243F6A8885A308D3, 0xA4093822299F31D0)
 _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -88,29 +90,79 @@ def windows(lane: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
 
 
 def every_window(lane: np.ndarray, width: int, half: int) -> np.ndarray:
-    """One half of the fingerprints of the `width` (8 or more) bytes from each place on: doubled until two cover them."""
-    out = lane[:-1] * U64(_STEPS[half])
-    out ^= out >> U64(29)
-    size = 8
+    """One half of the fingerprints of the `width` (8 or more) bytes from each place on: doubled until two cover them.
+
+    Worked off in blocks of places that stay in the processor's cache.
+    """
+    shifts, size = [], 8
     while 2 * size <= width:
-        out = _joined(out[:-size], out[size:], half)
+        shifts.append(size)
         size *= 2
-    return mix(_joined(out[: -(width - size)], out[width - size :], half) if width > size else out)
+    if width > size:
+        shifts.append(width - size)
+    step, more = U64(_STEPS[half]), width - 8
+    n = max(len(lane) - 1 - more, 0)
+    out = np.empty(n, U64)
+    one, two, odd = np.empty((3, min(n, PLACES) + more), U64)
+    for lo in range(0, n, PLACES):
+        hi = min(lo + PLACES, n)
+        k = hi - lo + more
+        cur = one[:k]
+        np.multiply(lane[lo : lo + k], step, out=cur)
+        cur ^= np.right_shift(cur, U64(29), out=odd[:k])
+        for i, shift in enumerate(shifts):
+            k -= shift
+            nxt, x = (one if i % 2 else two)[:k], odd[:k]
+            np.multiply(cur[:k], step, out=nxt)
+            nxt ^= np.right_shift(nxt, U64(32), out=x)
+            nxt += cur[shift : shift + k]
+            nxt *= U64(0xFF51AFD7ED558CCD)
+            nxt ^= np.right_shift(nxt, U64(29), out=x)
+            cur = nxt
+        out[lo:hi] = mix(cur)
+    return out
 
 
 def ordered(hi: np.ndarray, lo: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """An order of fingerprints (second halves or none) and where in it the distinct ones start."""
-    order = np.argsort(hi)
-    one = hi[order]
-    same = one[1:] == one[:-1]
+    """An order of fingerprints (second halves or none) and where in it the distinct ones start; equal ones stay in turn.
+
+    Sorted are numbers of a fingerprint's first bits and its place; where first bits agree, whole ones decide.
+    """
+    n = len(hi)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    bits = U64(max(n - 1, 1).bit_length())
+    low = (U64(1) << bits) - U64(1)
+    key = hi & ~low
+    key |= np.arange(n, dtype=U64)
+    key.sort()
+    order = (key & low).view(np.int64)
+    key >>= bits
+    near = key[1:] == key[:-1]
+    fresh = np.ones(n, bool)
+    fresh[1:] = ~near
+    at = np.flatnonzero(near)
+    same = _alike(hi, lo, order, at)
+    if not same.all():
+        # all of a run of equal first bits, if its fingerprints differ
+        run = np.cumsum(fresh)
+        mixed = np.zeros(run[-1] + 1, bool)
+        mixed[run[at[~same]]] = True
+        part = np.flatnonzero(mixed[run])
+        own = order[part]
+        order[part] = own[np.lexsort((own, hi[own]) if lo is None else (own, lo[own], hi[own]))]
+        same = _alike(hi, lo, order, at)
+    fresh[at[~same] + 1] = True
+    return order, np.flatnonzero(fresh)
+
+
+def _alike(hi: np.ndarray, lo: np.ndarray | None, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the fingerprints at places `at` and at + 1 of an order are the same."""
+    a, b = order[at], order[at + 1]
+    same = hi[a] == hi[b]
     if lo is not None:
-        two = lo[order]
-        if (same & (two[1:] != two[:-1])).any():
-            order = np.lexsort((lo, hi))
-            two, one = lo[order], hi[order]
-            same = one[1:] == one[:-1]
-        same &= two[1:] == two[:-1]
-    return order, np.flatnonzero(np.concatenate([np.ones(min(len(hi), 1), bool), ~same]))
+        same &= lo[a] == lo[b]
+    return same
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

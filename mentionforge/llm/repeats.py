@@ -58,10 +58,12 @@ def _array(column: pa.Array, i: int) -> np.ndarray:
 
 
 Names = tuple[np.ndarray, np.ndarray | None]
+#: The least name and that after the last (None: no end).
+Range = tuple[np.uint64, np.uint64 | None]
 
 
-def _cover(data: np.ndarray, ends: np.ndarray, gram: int) -> tuple[np.ndarray, Names]:
-    """Sampled places of a chunk and the names of their suffixes (one half)."""
+def _cover(data: np.ndarray, ends: np.ndarray, gram: int, within: Range | None = None) -> tuple[np.ndarray, Names]:
+    """Sampled places of a chunk and the names of their suffixes (one half), or those within a range of names."""
     starts = np.concatenate([[0], ends[:-1]])
     room = ends - starts - gram
     parts = []
@@ -70,19 +72,35 @@ def _cover(data: np.ndarray, ends: np.ndarray, gram: int) -> tuple[np.ndarray, N
         offs = np.concatenate([[0], np.cumsum(per)])
         parts.append(np.repeat(starts + r - PERIOD * offs[:-1], per) + PERIOD * np.arange(offs[-1]))
     at = np.sort(np.concatenate(parts))
-    return at, (K.windows(K.lanes(data), gram, at) if len(at) else np.empty(0, np.uint64), None)
+    names = K.windows(K.lanes(data), gram, at) if len(at) else np.empty(0, np.uint64)
+    if within:
+        own = _inside(names, within)
+        at, names = at[own], names[own]
+    return at, (names, None)
 
 
-def _suffixes(data: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, Names]:
-    """Starts, in the packed segments, of all strings of `length` bytes, and their names (both halves)."""
+def _suffixes(data: np.ndarray, lens: np.ndarray, length: int, within: Range | None = None) -> tuple[np.ndarray, Names]:
+    """Starts, in the packed segments, of all strings of `length` bytes, and their names (both halves), or those within
+    a range of names."""
     if not len(data):
         return np.empty(0, np.int64), (np.empty(0, np.uint64), np.empty(0, np.uint64))
-    starts = np.cumsum(lens) - lens
-    per = lens - length + 1
-    offs = np.concatenate([[0], np.cumsum(per)])
-    at = np.repeat(starts - offs[:-1], per) + np.arange(offs[-1])
+    # all places but those from which a string would go on into the next segment
+    own = np.ones(len(data) - length + 1, bool)
+    own[(np.cumsum(lens)[:-1, None] - np.arange(1, length)).ravel()] = False
     lane = K.lanes(data)
-    return at, tuple(K.every_window(lane, length, half)[at] for half in range(2))
+    hi = K.every_window(lane, length, 0)[: len(own)]
+    if within:
+        own &= _inside(hi, within)
+    at = np.flatnonzero(own)
+    return at, (hi[at], K.every_window(lane, length, 1)[at])
+
+
+def _inside(names: np.ndarray, within: Range) -> np.ndarray:
+    least, most = within
+    own = names >= least
+    if most is not None:
+        own &= names < most
+    return own
 
 
 def _edges(lo: int, hi: int, blocks: int) -> np.ndarray:
@@ -97,19 +115,18 @@ def _ranked(source: DataFrame, names_of, wide: bool, blocks: int, passes: int, e
 
     def judge(key, group):
         chunk = group.column("chunk").to_numpy()
+        turn = np.argsort(chunk)
+        chunk = chunk[turn]
         blobs = group.column("names").combine_chunks()
-        own = [np.frombuffer(x.as_buffer(), "<u8") for x in (blobs.chunks[0] if isinstance(blobs, pa.ChunkedArray) else blobs)]
+        blobs = blobs.chunks[0] if isinstance(blobs, pa.ChunkedArray) else blobs
+        own = [np.frombuffer(blobs[j].as_buffer(), "<u8") for j in turn.tolist()]
         size = np.array([len(x) for x in own]) // (2 if wide else 1)
         hi = np.concatenate([x[:n] for x, n in zip(own, size)])
         lo = np.concatenate([x[n:] for x, n in zip(own, size)]) if wide else None
         order, first = K.ordered(hi, lo)
-        per = np.diff(np.append(first, len(order)))
-        bits = np.empty(len(order), bool)
-        if earlier:
-            holder = np.repeat(chunk, size)[order]
-            bits[order] = holder > np.repeat(np.minimum.reduceat(holder, first), per)
-        else:
-            bits[order] = np.repeat(per > 1, per)
+        # a chunk sends a name once, and chunks are in turn
+        bits = np.ones(len(order), bool)
+        bits[order[first if earlier else first[np.diff(np.append(first, len(order))) == 1]]] = False
         at = np.concatenate([[0], np.cumsum(size)])
         out = [np.packbits(bits[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
         return pa.table({"chunk": pa.array(chunk), "block": pa.array(np.full(len(own), key[0].as_py(), np.int32)), "bits": K.binary_column(out)})
@@ -121,18 +138,16 @@ def _ranked(source: DataFrame, names_of, wide: bool, blocks: int, passes: int, e
 
         def send(batches, lo_block=lo_block, hi_block=hi_block):
             edges = _edges(lo_block, hi_block, blocks)
+            within = edges[0], _edges(hi_block, hi_block + 1, blocks)[0] if hi_block < blocks else None
             for batch in batches:
                 for i in range(batch.num_rows):
-                    hi, lo = names_of(batch, i)[1]
-                    inside = hi >= edges[0]
-                    if hi_block < blocks:
-                        inside &= hi < _edges(hi_block, hi_block + 1, blocks)[0]
-                    hi, lo = hi[inside], lo[inside] if wide else None
+                    hi, lo = names_of(batch, i, within)[1]
                     if wide:
                         order, first = K.ordered(hi, lo)
                         hi, lo = hi[order[first]], lo[order[first]]
                     else:
-                        hi = np.unique(hi)
+                        hi = np.sort(hi)
+                        hi = hi[np.append(True, hi[1:] != hi[:-1])[: len(hi)]]
                     cut = np.append(np.searchsorted(hi, edges), len(hi))
                     full = np.flatnonzero(np.diff(cut))
                     if len(full):
@@ -147,21 +162,16 @@ def _ranked(source: DataFrame, names_of, wide: bool, blocks: int, passes: int, e
     return read.groupBy("chunk").agg(F.collect_list(F.struct("block", "bits")).alias("bits"))
 
 
-def _flags(names: Names, blocks: int, bits: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each name of a chunk: the bit of its kind, how many names are of the kind, and the first of them."""
+def _kinds(names: Names, blocks: int, bits: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of a chunk's names, equal ones by place; where in it the distinct ones start; and the bit of each."""
     order, first = K.ordered(*names)
-    per = np.diff(np.append(first, len(order)))
     kinds = names[0][order[first]]
     cut = np.append(np.searchsorted(kinds, _edges(0, blocks, blocks)), len(kinds))
     bit = np.zeros(len(kinds), bool)
     for x in bits or ():
         lo, hi = cut[x["block"]], cut[x["block"] + 1]
         bit[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo)
-    least = np.minimum.reduceat(order, first) if len(order) else order
-    out = np.empty(len(order), bool), np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    for x, y in zip(out, (bit, per, least)):
-        x[order] = np.repeat(y, per)
-    return out
+    return order, first, bit
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +193,8 @@ def repeats(docs: DataFrame, length: int = 100, passes: int = 4, doc_id: str = "
     total = chunks.agg(F.sum(F.length("data"))).first()[0] or 0
     cover_blocks = max(1, passes, -(-total * len(COVER) // PERIOD // BLOCK))
 
-    def cover(batch, i):
-        return _cover(np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), _array(batch.column("ends"), i), gram)
+    def cover(batch, i, within=None):
+        return _cover(np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), _array(batch.column("ends"), i), gram, within)
 
     shared = _ranked(chunks.select("chunk", "ends", "data"), cover, False, cover_blocks, passes, False, folder, "shared")
 
@@ -193,9 +203,12 @@ def repeats(docs: DataFrame, length: int = 100, passes: int = 4, doc_id: str = "
             for i in range(batch.num_rows):
                 data, ends = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), _array(batch.column("ends"), i)
                 at, names = _cover(data, ends, gram)
-                other, alike, _ = _flags(names, cover_blocks, batch.column("bits")[i].as_py())
+                order, first, other = _kinds(names, cover_blocks, batch.column("bits")[i].as_py())
+                alone = np.diff(np.append(first, len(order))) == 1
+                again = np.ones(len(order), bool)
+                again[order[first[alone & ~other]]] = False
                 reach = np.zeros(len(data) + PERIOD + 1, np.int32)
-                reach[at[other | (alike > 1)] + 1] = 1
+                reach[at[again] + 1] = 1
                 reach = np.cumsum(reach, dtype=np.int32)
                 left = reach[PERIOD : PERIOD + len(data)] > reach[: len(data)]
                 # no string of the full length starts in a document's last bytes
@@ -205,8 +218,7 @@ def repeats(docs: DataFrame, length: int = 100, passes: int = 4, doc_id: str = "
                 lo, hi = _runs(left)
                 if len(lo):
                     size = hi - lo + length - 1
-                    offs = np.concatenate([[0], np.cumsum(size)])
-                    body = data[np.repeat(lo - offs[:-1], size) + np.arange(offs[-1])]
+                    body = np.concatenate([data[a:b] for a, b in zip(lo.tolist(), (lo + size).tolist())])
                     yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), pa.array([lo.tolist()], pa.list_(pa.int64())), pa.array([size.tolist()], pa.list_(pa.int64())), K.binary_column([body.tobytes()])], names=["chunk", "starts", "lens", "data"])
 
     parts = chunks.select("chunk", "ends", "data").join(shared.hint("shuffle_hash"), "chunk", "left").mapInArrow(survivors, "chunk long, starts array<long>, lens array<long>, data binary")
@@ -215,8 +227,8 @@ def repeats(docs: DataFrame, length: int = 100, passes: int = 4, doc_id: str = "
     left = parts.agg(F.sum(F.length("data"))).first()[0] or 0
     blocks = max(1, passes, -(-left // BLOCK))
 
-    def suffixes(batch, i):
-        return _suffixes(np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), _array(batch.column("lens"), i), length)
+    def suffixes(batch, i, within=None):
+        return _suffixes(np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), _array(batch.column("lens"), i), length, within)
 
     before = _ranked(parts.select("chunk", "lens", "data"), suffixes, True, blocks, passes, True, folder, "before")
 
@@ -224,8 +236,9 @@ def repeats(docs: DataFrame, length: int = 100, passes: int = 4, doc_id: str = "
         for batch in batches:
             for i in range(batch.num_rows):
                 at, names = suffixes(batch, i)
-                before_it, _, first = _flags(names, blocks, batch.column("bits")[i].as_py())
-                dup = before_it | (np.arange(len(at)) != first)
+                order, first, before_it = _kinds(names, blocks, batch.column("bits")[i].as_py())
+                dup = np.ones(len(order), bool)
+                dup[order[first[~before_it]]] = False
                 starts, lens = _array(batch.column("starts"), i), _array(batch.column("lens"), i)
                 offs = np.concatenate([[0], np.cumsum(lens)])
                 at = at[dup]

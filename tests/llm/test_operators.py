@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -87,6 +88,39 @@ def test_repeats_of_one_id(spark):
     assert sorted(len(r.kept) for r in repeats.repeats(rows).collect()) == [0, 0, 1, 99]
 
 
+def test_windows_in_blocks():
+    rng, u = np.random.default_rng(2), np.uint64
+    step, odd = u(kernels._STEPS[1]), u(0xFF51AFD7ED558CCD)
+    for n in (100, 107, 20_000, 16_384 + 99, 500_000):
+        data = rng.integers(0, 256, n, dtype=np.uint8)
+        lane = kernels.lanes(data)
+        tracemalloc.start()
+        got = kernels.every_window(lane, 100, 1)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        want = lane[:-1] * step
+        want ^= want >> u(29)
+        for shift in (8, 16, 32, 36):
+            left = want[:-shift] * step
+            left = ((left ^ left >> u(32)) + want[shift:]) * odd
+            want = left ^ left >> u(29)
+        assert (got == kernels.mix(want)).all()
+        # one array as long as the text, not one for each step
+        assert most < 1.5 * got.nbytes + (2 << 20)
+
+
+@pytest.mark.parametrize("span, shift", [(3, 0), (4000, 0), (4000, 45), (1 << 62, 0)])
+def test_order_of_names(span, shift):
+    rng = np.random.default_rng(3)
+    hi, lo = rng.integers(0, span, 5000).astype(np.uint64) << np.uint64(shift), rng.integers(0, 3, 5000).astype(np.uint64)
+    for second in (None, lo):
+        names = list(zip(hi.tolist(), (lo * 0 if second is None else lo).tolist()))
+        order, first = kernels.ordered(hi, second)
+        want = sorted(range(5000), key=lambda i: (names[i], i))
+        assert order.tolist() == want  # equal names by place
+        assert first.tolist() == [k for k, i in enumerate(want) if not k or names[i] != names[want[k - 1]]]
+
+
 def test_secrets(spark, folder):
     assign = re.compile("(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
     kinds = [("assign", assign, lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
