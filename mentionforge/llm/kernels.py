@@ -281,3 +281,13 @@ def min_hashes(values: np.ndarray, offs: np.ndarray, n: int, seed: int = 7) -> n
 
 def binary_column(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+def binary_slices(raw: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """A binary column of the parts of `raw` (under 2 GB) between offsets that start with 0."""
+    return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())

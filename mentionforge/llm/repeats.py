@@ -38,6 +38,8 @@ PERIOD, COVER = 73, (1, 2, 4, 8, 16, 32, 37, 55, 64)
 CHUNK = 2 << 20
 #: Names in a block of the sort, which bounds the memory of its task.
 BLOCK = 1_000_000
+#: Bytes of names handed on at a time.
+SENT = 8 << 20
 
 
 def _chunks(docs: DataFrame, folder: str) -> DataFrame:
@@ -116,20 +118,20 @@ def _ranked(source: DataFrame, names_of, wide: bool, blocks: int, passes: int, e
     def judge(key, group):
         chunk = group.column("chunk").to_numpy()
         turn = np.argsort(chunk)
-        chunk = chunk[turn]
-        blobs = group.column("names").combine_chunks()
-        blobs = blobs.chunks[0] if isinstance(blobs, pa.ChunkedArray) else blobs
-        own = [np.frombuffer(blobs[j].as_buffer(), "<u8") for j in turn.tolist()]
-        size = np.array([len(x) for x in own]) // (2 if wide else 1)
-        hi = np.concatenate([x[:n] for x, n in zip(own, size)])
-        lo = np.concatenate([x[n:] for x, n in zip(own, size)]) if wide else None
+        raw, offs = K.text_buffers(group.column("names").combine_chunks().take(pa.array(turn)))
+        own = raw.view("<u8")
+        hi, lo = (np.ascontiguousarray(own[0::2]), np.ascontiguousarray(own[1::2])) if wide else (own, None)
+        size = np.diff(offs) // (16 if wide else 8)
         order, first = K.ordered(hi, lo)
         # a chunk sends a name once, and chunks are in turn
         bits = np.ones(len(order), bool)
         bits[order[first if earlier else first[np.diff(np.append(first, len(order))) == 1]]] = False
-        at = np.concatenate([[0], np.cumsum(size)])
-        out = [np.packbits(bits[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-        return pa.table({"chunk": pa.array(chunk), "block": pa.array(np.full(len(own), key[0].as_py(), np.int32)), "bits": K.binary_column(out)})
+        # each chunk's bits begin with a byte of their own
+        room = -(-size // 8)
+        at = np.concatenate([[0], np.cumsum(room)])
+        spread = np.zeros(8 * at[-1], bool)
+        spread[K.ranges(8 * at[:-1], size)] = bits
+        return pa.table({"chunk": pa.array(chunk[turn]), "block": pa.array(np.full(len(size), key[0].as_py(), np.int32)), "bits": K.binary_slices(np.packbits(spread), at)})
 
     for k in range(passes):
         lo_block, hi_block = blocks * k // passes, blocks * (k + 1) // passes
@@ -150,9 +152,14 @@ def _ranked(source: DataFrame, names_of, wide: bool, blocks: int, passes: int, e
                         hi = hi[np.append(True, hi[1:] != hi[:-1])[: len(hi)]]
                     cut = np.append(np.searchsorted(hi, edges), len(hi))
                     full = np.flatnonzero(np.diff(cut))
-                    if len(full):
-                        parts = [b"".join(x[cut[b] : cut[b + 1]].astype("<u8").tobytes() for x in (hi, lo) if x is not None) for b in full]
-                        yield pa.RecordBatch.from_arrays([pa.array((lo_block + full).astype(np.int32)), pa.array(np.full(len(full), batch.column("chunk")[i].as_py(), np.int64)), K.binary_column(parts)], names=["block", "chunk", "names"])
+                    own = np.stack([hi, lo], 1) if wide else hi[:, None]
+                    # blocks are runs of the names in order; some MB of them at a time, one block at least
+                    group = cut[full] * own.shape[1] * 8 // SENT
+                    for part in np.split(full, np.flatnonzero(np.diff(group)) + 1) if len(full) else ():
+                        ends = cut[np.append(part, part[-1] + 1)]
+                        raw = own[ends[0] : ends[-1]].astype("<u8", copy=False).ravel()
+                        names = K.binary_slices(raw, (ends - ends[0]) * own.shape[1] * 8)
+                        yield pa.RecordBatch.from_arrays([pa.array((lo_block + part).astype(np.int32)), pa.array(np.full(len(part), batch.column("chunk")[i].as_py(), np.int64)), names], names=["block", "chunk", "names"])
 
         sent = source.mapInArrow(send, "block int, chunk long, names binary")
         keep(sent.groupBy("block").applyInArrow(judge, "chunk long, block int, bits binary"), folder, name, "append")
@@ -162,15 +169,18 @@ def _ranked(source: DataFrame, names_of, wide: bool, blocks: int, passes: int, e
     return read.groupBy("chunk").agg(F.collect_list(F.struct("block", "bits")).alias("bits"))
 
 
-def _kinds(names: Names, blocks: int, bits: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of a chunk's names, equal ones by place; where in it the distinct ones start; and the bit of each."""
+def _kinds(names: Names, edges: np.ndarray, bits: pa.StructArray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of a chunk's names, equal ones by place; where in it the distinct ones start; and the bit of each, from
+    those of its blocks, which start at `edges`."""
     order, first = K.ordered(*names)
     kinds = names[0][order[first]]
-    cut = np.append(np.searchsorted(kinds, _edges(0, blocks, blocks)), len(kinds))
+    cut = np.append(np.searchsorted(kinds, edges), len(kinds))
     bit = np.zeros(len(kinds), bool)
-    for x in bits or ():
-        lo, hi = cut[x["block"]], cut[x["block"] + 1]
-        bit[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo)
+    if bits is not None:
+        block = bits.field("block").to_numpy(zero_copy_only=False)
+        raw, offs = K.text_buffers(bits.field("bits"))
+        size = cut[block + 1] - cut[block]
+        bit[K.ranges(cut[block], size)] = np.unpackbits(raw)[K.ranges(8 * offs[:-1], size)]
     return order, first, bit
 
 
@@ -199,11 +209,12 @@ def repeats(docs: DataFrame, length: int = 100, passes: int = 4, doc_id: str = "
     shared = _ranked(chunks.select("chunk", "ends", "data"), cover, False, cover_blocks, passes, False, folder, "shared")
 
     def survivors(batches):
+        edges = _edges(0, cover_blocks, cover_blocks)
         for batch in batches:
             for i in range(batch.num_rows):
                 data, ends = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), _array(batch.column("ends"), i)
                 at, names = _cover(data, ends, gram)
-                order, first, other = _kinds(names, cover_blocks, batch.column("bits")[i].as_py())
+                order, first, other = _kinds(names, edges, batch.column("bits")[i].values)
                 alone = np.diff(np.append(first, len(order))) == 1
                 again = np.ones(len(order), bool)
                 again[order[first[alone & ~other]]] = False
@@ -233,10 +244,11 @@ def repeats(docs: DataFrame, length: int = 100, passes: int = 4, doc_id: str = "
     before = _ranked(parts.select("chunk", "lens", "data"), suffixes, True, blocks, passes, True, folder, "before")
 
     def covered(batches):
+        edges = _edges(0, blocks, blocks)
         for batch in batches:
             for i in range(batch.num_rows):
                 at, names = suffixes(batch, i)
-                order, first, before_it = _kinds(names, blocks, batch.column("bits")[i].as_py())
+                order, first, before_it = _kinds(names, edges, batch.column("bits")[i].values)
                 dup = np.ones(len(order), bool)
                 dup[order[first[~before_it]]] = False
                 starts, lens = _array(batch.column("starts"), i), _array(batch.column("lens"), i)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mentionforge.llm import archives, common, kernels, license_rules, licenses, mixing, near_copies, near_vectors, neighbours, piece_codec, quality, repeats, secrets
@@ -88,6 +89,28 @@ def test_repeats_of_one_id(spark):
     assert sorted(len(r.kept) for r in repeats.repeats(rows).collect()) == [0, 0, 1, 99]
 
 
+def test_repeats_in_many_blocks(spark, folder, monkeypatch):
+    want = run(spark, "op1_repeats", folder)
+    monkeypatch.setattr(repeats, "BLOCK", 20)
+    assert run(spark, "op1_repeats", folder) == want
+
+
+def test_bits_of_names():
+    rng = np.random.default_rng(5)
+    names = rng.integers(0, 1 << 64, 300, dtype=np.uint64).repeat(2)
+    rng.shuffle(names)
+    edges = repeats._edges(0, 40, 40)
+    kinds = np.unique(names)
+    block = np.searchsorted(edges, kinds, "right") - 1
+    want = rng.random(len(kinds)) < 0.5
+    rows = [{"block": b, "bits": np.packbits(want[block == b]).tobytes()} for b in rng.permutation(np.unique(block)).tolist()]
+    kind = pa.struct([("block", pa.int32()), ("bits", pa.binary())])
+    # a part of a longer column, as the column of a batch is
+    cell = pa.array([[{"block": 7, "bits": b"1234"}], rows], pa.list_(kind))[1].values
+    order, first, bit = repeats._kinds((names, None), edges, cell)
+    assert (names[order[first]] == kinds).all() and (bit == want).all()
+
+
 def test_windows_in_blocks():
     rng, u = np.random.default_rng(2), np.uint64
     step, odd = u(kernels._STEPS[1]), u(0xFF51AFD7ED558CCD)
